@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rillstone.llm import quality_rules, url_filters
+from rillstone.llm import decontamination, packing, quality_rules, token_counts, url_filters, warc
 from rillstone.runtime import table
 
 
@@ -14,10 +14,30 @@ def op2_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filters.judge(table(spark, sf_dir, "pages"), table(spark, sf_dir, "labels"), F.col("quality") == 0)
 
 
+def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents packed into sequences of 1024 tokens."""
+    return packing.pack_documents(table(spark, sf_dir, "documents"))
+
+
+def op4_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents against the windows of all benchmark items."""
+    return decontamination.assess(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("items")
+
+
+def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Greedy word-piece lengths of all documents."""
+    return token_counts.count_tokens(table(spark, sf_dir, "documents"))
+
+
+def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages written to archives and read back."""
+    return warc.round_trip(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Text statistics and the verdict on cross-document lines."""
     return quality_rules.assess(table(spark, sf_dir, "documents")).drop("row")
 
 
-QUERIES = {f.__name__: f for f in (op2_url_filters, op10_quality_rules)}
+QUERIES = {f.__name__: f for f in (op2_url_filters, op3_best_fit_packing, op4_benchmark_decontamination, op7_token_counts, op8_warc, op10_quality_rules)}
 ORACLE: dict[str, str] = {}
