@@ -4,7 +4,8 @@ Writing goes through Spark's text sink, so archives reach any store that Spark
 writes and a lost task's file is never left half done. A row of the sink is a
 frame; the line separator is an empty skippable frame, which decoders pass over.
 The first row of each file is a skippable frame that holds the dictionary, which
-is trained on a bounded sample (``DICTIONARY_PAGES`` pages).
+is trained on a bounded sample (the first ``SAMPLE_CHARS`` characters of
+``DICTIONARY_PAGES`` pages).
 
 Reading loads the dictionary, finds each frame's length from its block headers,
 decodes one frame for each record, and checks the version line, the mandatory
@@ -44,8 +45,9 @@ VERSION = b"WARC/1.1"
 MANDATORY = ("WARC-Type", "WARC-Record-ID", "WARC-Date", "Content-Length")
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
-DICTIONARY_PAGES = 400
-DICTIONARY_BYTES = 1 << 15
+DICTIONARY_PAGES = 120
+SAMPLE_CHARS = 4000
+DICTIONARY_BYTES = 1 << 14
 REVISIT_BYTES = 100
 DATE = "2024-01-01T00:00:00Z"
 #: An empty skippable frame; all of its bytes are ASCII.
@@ -173,8 +175,8 @@ def mark_revisits(pages: DataFrame) -> DataFrame:
 
 def write(pages: DataFrame, path: str, dictionary_pages: int = DICTIONARY_PAGES) -> None:
     """Writes a record for each row of `pages` to archives in the folder `path`."""
-    sample = pages.select("html").where(F.length("html") > 0).orderBy(F.xxhash64("html")).limit(dictionary_pages)
-    raw = train([VERSION + b"\r\n" + r[0].encode()[: 1 << 14] for r in sample.collect()])
+    sample = pages.where(F.length("html") > 0).select(F.xxhash64("html").alias("h"), F.substring("html", 1, SAMPLE_CHARS).alias("html")).orderBy("h", "html").limit(dictionary_pages)
+    raw = train([VERSION + b"\r\n" + r["html"].encode() for r in sample.collect()])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = zstandard.ZstdCompressor(level=3, dict_data=load(raw), write_checksum=True)
