@@ -5,10 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rillstone.llm import decontamination, packing, quality_rules, token_counts, url_filters, warc
+from rillstone.llm import decontamination, packing, quality_rules, substring_dedup, token_counts, url_filters, warc
 from rillstone.runtime import table
 
 
+def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents without the passages that earlier ones hold."""
+    kept = substring_dedup.assess(table(spark, sf_dir, "documents"))
+    return kept.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
+
+
 def op2_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages judged by the contract's rules, else by rules mined for low quality."""
     return url_filters.judge(table(spark, sf_dir, "pages"), table(spark, sf_dir, "labels"), F.col("quality") == 0)
@@ -39,5 +45,5 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.assess(table(spark, sf_dir, "documents")).drop("row")
 
 
-QUERIES = {f.__name__: f for f in (op2_url_filters, op3_best_fit_packing, op4_benchmark_decontamination, op7_token_counts, op8_warc, op10_quality_rules)}
+QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_url_filters, op3_best_fit_packing, op4_benchmark_decontamination, op7_token_counts, op8_warc, op10_quality_rules)}
 ORACLE: dict[str, str] = {}
