@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rillstone.llm import decontamination, packing, quality_rules, substring_dedup, token_counts, url_filters, warc
+from rillstone.llm import decontamination, ngram_join, packing, quality_rules, substring_dedup, token_counts, url_filters, warc
 from rillstone.runtime import table
 
 
@@ -30,6 +30,11 @@ def op4_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return decontamination.assess(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("items")
 
 
+def op5_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of documents whose shingle sets are 0.8 alike."""
+    return ngram_join.assess(table(spark, sf_dir, "documents"))
+
+
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Greedy word-piece lengths of all documents."""
     return token_counts.count_tokens(table(spark, sf_dir, "documents"))
@@ -45,5 +50,5 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.assess(table(spark, sf_dir, "documents")).drop("row")
 
 
-QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_url_filters, op3_best_fit_packing, op4_benchmark_decontamination, op7_token_counts, op8_warc, op10_quality_rules)}
+QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_url_filters, op3_best_fit_packing, op4_benchmark_decontamination, op5_ngram_jaccard_join, op7_token_counts, op8_warc, op10_quality_rules)}
 ORACLE: dict[str, str] = {}
