@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rillstone.llm import decontamination, ngram_join, packing, quality_rules, substring_dedup, token_counts, url_filters, warc
+from rillstone.llm import decontamination, lm_scoring, ngram_join, packing, quality_classifier, quality_rules, substring_dedup, token_counts, url_filters, warc
 from rillstone.runtime import table
 
 
@@ -35,6 +35,11 @@ def op5_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.assess(table(spark, sf_dir, "documents"))
 
 
+def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality scores of all documents by a byte-level network."""
+    return quality_classifier.assess(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Greedy word-piece lengths of all documents."""
     return token_counts.count_tokens(table(spark, sf_dir, "documents"))
@@ -45,10 +50,29 @@ def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of all documents by a hierarchical Pitman-Yor model."""
+    return lm_scoring.assess(table(spark, sf_dir, "documents"))
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Text statistics and the verdict on cross-document lines."""
     return quality_rules.assess(table(spark, sf_dir, "documents")).drop("row")
 
 
-QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_url_filters, op3_best_fit_packing, op4_benchmark_decontamination, op5_ngram_jaccard_join, op7_token_counts, op8_warc, op10_quality_rules)}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_substring_dedup,
+        op2_url_filters,
+        op3_best_fit_packing,
+        op4_benchmark_decontamination,
+        op5_ngram_jaccard_join,
+        op6_quality_classifier,
+        op7_token_counts,
+        op8_warc,
+        op9_lm_scoring,
+        op10_quality_rules,
+    )
+}
 ORACLE: dict[str, str] = {}
