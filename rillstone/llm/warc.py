@@ -49,6 +49,8 @@ DICTIONARY_PAGES = 120
 SAMPLE_CHARS = 4000
 DICTIONARY_BYTES = 1 << 14
 REVISIT_BYTES = 100
+#: Payload bytes of one archive, about.
+ARCHIVE_BYTES = 1 << 24
 DATE = "2024-01-01T00:00:00Z"
 #: An empty skippable frame; all of its bytes are ASCII.
 SEPARATOR = struct.pack("<II", SKIPPABLE_MAGIC, 0).decode("ascii")
@@ -173,7 +175,7 @@ def mark_revisits(pages: DataFrame) -> DataFrame:
     return joined.select("page_id", "url", "payload", "digest", "refers_to", F.col("r_digest").isNotNull().alias("revisit"))
 
 
-def write(pages: DataFrame, path: str, dictionary_pages: int = DICTIONARY_PAGES) -> None:
+def write(pages: DataFrame, path: str, dictionary_pages: int = DICTIONARY_PAGES, archive_bytes: int = ARCHIVE_BYTES) -> None:
     """Writes a record for each row of `pages` to archives in the folder `path`."""
     sample = pages.where(F.length("html") > 0).select(F.xxhash64("html").alias("h"), F.substring("html", 1, SAMPLE_CHARS).alias("html")).orderBy("h", "html").limit(dictionary_pages)
     raw = train([VERSION + b"\r\n" + r["html"].encode() for r in sample.collect()])
@@ -194,7 +196,8 @@ def write(pages: DataFrame, path: str, dictionary_pages: int = DICTIONARY_PAGES)
         if rows:
             yield pa.RecordBatch.from_arrays([pa.array(rows, pa.binary())], ["frame"])
 
-    marked = mark_revisits(pages).drop("digest")
+    total = pages.agg(F.sum(F.octet_length("html"))).first()[0] or 0
+    marked = mark_revisits(pages).drop("digest").coalesce(max(1, -(-total // archive_bytes)))
     frame = marked.mapInArrow(run, "frame binary").select(F.col("frame").cast("string").alias("value"))
     frame.write.option("lineSep", SEPARATOR).text(path)
 
