@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from rillstone.library.operators import NATION, OPERATORS
 from rillstone.library.programs import PROGRAMS, Query
 from rillstone.program import Program
-from rillstone.runtime import table
+from rillstone.runtime import ensure_checkpoint_dir, table
+from rillstone.sources.facts import write_relation
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events")
 
@@ -36,9 +39,32 @@ def run_query(spark: SparkSession, sf_dir: str, query: Query) -> DataFrame:
     return out
 
 
+def file_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nations written as a delimited file, and read as a program's input, with its size beside each row."""
+    use_tables(spark, sf_dir)
+    folder = f"{ensure_checkpoint_dir(spark)}/facts-{uuid.uuid4().hex}"
+    write_relation(spark.sql(NATION), f"{folder}/nation.txt", "|")
+    text = """.decl Nation(n: int32, name: string, r: int32)
+    .input Nation(IO="file", filename="nation.txt", delimiter="|")
+    .printsize Nation"""
+    result = Program.parse(text).run(spark, facts_dir=folder)
+    return result.relation("Nation").crossJoin(F.broadcast(result.size_frame().select("size")))
+
+
+def sizes_of_closure(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The sizes that the closure program prints."""
+    use_tables(spark, sf_dir)
+    query = PROGRAMS["tc"]
+    return Program.parse(query.text).run(spark, {name: spark.sql(text) for name, text in query.facts.items()}).size_frame()
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {name: (lambda spark, sf_dir, q=query: run_query(spark, sf_dir, q)) for name, query in PROGRAMS.items()}
+    found = {name: (lambda spark, sf_dir, q=query: run_query(spark, sf_dir, q)) for name, query in (PROGRAMS | OPERATORS).items()}
+    return found | {"s1_file_round_trip": file_round_trip, "s9_printsize": sizes_of_closure}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {name: sql for name, query in PROGRAMS.items() if (sql := query.sql())}
+    found = {name: sql for name, query in (PROGRAMS | OPERATORS).items() if (sql := query.sql())}
+    found["s1_file_round_trip"] = "select n_nationkey as n, n_name as name, n_regionkey as r, cast((select count(*) from nation) as bigint) as size from nation"
+    found["s9_printsize"] = f"select 'Tc' as relation, cast(count(*) as bigint) as size from ({found['tc']}) t"
+    return found
