@@ -4,12 +4,12 @@ A window is ``WINDOW`` consecutive words. Each window has an anchor, the run of
 ``GRAM`` words in it with the least hash, and equal windows have equal anchors,
 so a window need only be looked for among the windows of its anchor.
 
-1. Every document gives the distinct hashes of its anchors. Those of one
-   document only are done with: this leaves the repeated passages.
-2. Consecutive windows with one anchor make a segment. Segments of a repeated
-   anchor go to the anchor's shard; equal ones are merged before that, keeping
-   the least document. An anchor of more than ``HOT`` documents is split: its
-   windows go to shards each by its own hash, where equal ones are merged, so
+1. Consecutive windows with one anchor make a segment. Every document gives the
+   hashes of its anchors and segments. Anchors of one document only are done
+   with: this leaves the repeated passages.
+2. Segments of a repeated anchor go to the anchor's shard, one text for all that
+   equal the anchor's first. An anchor of more than ``HOT`` segments is split:
+   its windows go to shards each by its own hash, equal ones merged before, so
    that no crowded anchor lands in one task.
 3. A shard builds compressed FM-indexes of its segments and streams segments
    through them: backward search gives matching statistics, and the least
@@ -40,8 +40,9 @@ from rillstone.runtime import row_key
 
 WINDOW = 13
 GRAM = 4
-#: Windows of an anchor in more documents than this are dealt one by one.
+#: Windows of an anchor of more segments than this are dealt one by one; of at most MOST_HOT anchors.
 HOT = 200
+MOST_HOT = 50_000
 #: Words that one FM-index holds, but for the last shard key in it.
 INDEX_WORDS = 400_000
 #: Distinct segments that a task remembers to merge equal ones.
@@ -69,34 +70,109 @@ def runs(words: Words, h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarra
     anchor = inside + place[inside]
     new = np.append(True, (anchor[1:] != anchor[:-1]) | (inside[1:] != inside[:-1] + 1))
     firsts = np.flatnonzero(new)
-    return inside[firsts], np.diff(np.append(firsts, len(inside))), best[inside[firsts]]
+    # 48 bits do: anchors that meet by chance cost time, no result, and zeros are shuffled for little
+    return inside[firsts], np.diff(np.append(firsts, len(inside))), best[inside[firsts]] >> np.uint64(16)
 
 
-def anchors(docs: DataFrame) -> DataFrame:
-    """(anchor, row): the distinct anchors of each row of `docs` (row, doc_id, text)."""
+def hot_anchors(docs: DataFrame) -> np.ndarray:
+    """Anchors of more than HOT segments, at most MOST_HOT, the most frequent: sorted hashes.
+
+    Tasks count, over all rows, and forget what is rare among many anchors; so
+    an anchor near the bound may be missed, which costs time but no result.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+
+        def merged() -> tuple[np.ndarray, np.ndarray]:
+            hashes, counts = (np.concatenate(c) for c in zip(*held, strict=True))
+            order = np.argsort(hashes, kind="stable")
+            hashes, counts = hashes[order], counts[order]
+            at = np.flatnonzero(np.append(True, hashes[1:] != hashes[:-1])) if len(hashes) else np.zeros(0, np.int64)
+            counts = np.add.reduceat(counts, at) if len(at) else counts
+            return hashes[at][counts > 1], counts[counts > 1]
+
+        for _, buf, offsets in pieces(batches):
+            words = scan(buf, offsets)
+            hashes = runs(words, words.hashes())[2]
+            held.append((hashes, np.ones(len(hashes), np.int64)))
+            if sum(len(h) for h, _ in held) > 1_500_000:
+                held = [merged()]
+        if held:
+            hashes, counts = merged()
+            yield pa.RecordBatch.from_arrays([pa.array(hashes.view(np.int64)), pa.array(counts)], ["anchor", "n"])
+
+    counted = docs.select("text").mapInArrow(run, "anchor long, n long").groupBy("anchor").agg(F.sum("n").alias("n")).where(F.col("n") > HOT)
+    most = counted.orderBy(F.desc("n"), "anchor").limit(MOST_HOT)
+    return np.sort(np.array([r["anchor"] for r in most.toLocalIterator()], np.int64).view(np.uint64))
+
+
+def _among(hashes: np.ndarray, ordered: np.ndarray) -> np.ndarray:
+    """Which hashes are among the ordered ones."""
+    if not len(ordered):
+        return np.zeros(len(hashes), bool)
+    return ordered[np.minimum(np.searchsorted(ordered, hashes), len(ordered) - 1)] == hashes
+
+
+def repeated_anchors(docs: DataFrame, hot: np.ndarray, ordered: bool) -> DataFrame:
+    """(row, quiet, spoken): for each row its anchors that other rows hold too, but for the hot ones.
+
+    Where rows are `ordered` as their documents, an anchor is quiet in rows whose
+    segment is that of the anchor's first row: one text does for them. Rows that
+    hold a hot anchor are there too.
+    """
+    sent = docs.sparkSession.sparkContext.broadcast(hot)
+
+    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hot = sent.value
         for part, buf, offsets in pieces(batches):
             words = scan(buf, offsets)
-            at, _, hashes = runs(words, words.hashes())
+            h = words.hashes()
+            at, n, hashes = runs(words, h)
             if not len(at):
                 continue
             doc = np.searchsorted(words.first, at, "right") - 1
-            order = np.lexsort((hashes, doc))
-            doc, hashes = doc[order], hashes[order]
-            new = np.append(True, (doc[1:] != doc[:-1]) | (hashes[1:] != hashes[:-1]))
-            rows = part.column("row").to_numpy(zero_copy_only=False)[doc[new]]
-            yield pa.RecordBatch.from_arrays([pa.array(hashes[new].view(np.int64)), pa.array(rows)], ["anchor", "row"])
-
-    return docs.select("row", "text").mapInArrow(run, "anchor long, row long")
-
+            rows = part.column("row").to_numpy(zero_copy_only=False)
+            crowded = _among(hashes, hot)
+            if crowded.any():
+                some = rows[np.unique(doc[crowded])]
+                yield pa.RecordBatch.from_arrays([pa.nulls(len(some), pa.int64()), pa.array(some), pa.nulls(len(some), pa.int64())], ["anchor", "row", "name"])
+            at, n, hashes, doc = at[~crowded], n[~crowded], hashes[~crowded], doc[~crowded]
+            names = _segment_names(h, at, n + WINDOW - 1) >> np.uint64(16)
+            yield pa.RecordBatch.from_arrays([pa.array(hashes.view(np.int64)), pa.array(rows[doc]), pa.array(names.view(np.int64))], ["anchor", "row", "name"])
+
+    def judged(rows: pa.Table) -> pa.RecordBatch:
+        """Of whole groups, sorted by anchor and row, those of several rows."""
+        anchor, row, name = (rows.column(c).to_numpy() for c in ("anchor", "row", "name"))
+        firsts = np.flatnonzero(np.append(True, anchor[1:] != anchor[:-1]))
+        sizes = np.diff(np.append(firsts, len(anchor)))
+        several = np.repeat(row[firsts] != row[firsts + sizes - 1], sizes)
+        speaks = (not ordered) | (row == np.repeat(row[firsts], sizes)) | (name != np.repeat(name[firsts], sizes))
+        return pa.RecordBatch.from_arrays([pa.array(row[several]), pa.array(anchor[several]), pa.array(speaks[several])], ["row", "anchor", "speaks"])
+
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            crowded = batch.filter(batch.column("anchor").is_null())
+            if crowded.num_rows:
+                yield pa.RecordBatch.from_arrays([crowded.column("row"), crowded.column("anchor"), pa.nulls(crowded.num_rows, pa.bool_())], ["row", "anchor", "speaks"])
+                batch = batch.filter(batch.column("anchor").is_valid())
+            if not batch.num_rows:
+                continue
+            held.append(batch)
+            table = pa.Table.from_batches(held)
+            anchor = table.column("anchor").to_numpy()
+            end = int(np.searchsorted(anchor, anchor[-1]))  # the last anchor may go on
+            if end:
+                yield judged(table.slice(0, end))
+                held = table.slice(end).combine_chunks().to_batches()
+        if held:
+            yield judged(pa.Table.from_batches(held))
 
-def repeated_anchors(docs: DataFrame) -> DataFrame:
-    """(row, cold, hot): for each row its anchors that other rows hold too; hot ones are in more than HOT rows."""
-    found = anchors(docs)
-    several = found.groupBy("anchor").agg(F.min("row").alias("a"), F.max("row").alias("b"), F.count(F.lit(1)).alias("n")).where("a < b").select("anchor", (F.col("n") > HOT).alias("hot"))
-    held = found.join(several, "anchor")
-    return held.groupBy("row").agg(F.collect_list(F.when(~F.col("hot"), F.col("anchor"))).alias("cold"), F.collect_list(F.when(F.col("hot"), F.col("anchor"))).alias("hot"))
+    emitted = docs.select("row", "text").mapInArrow(emit, "anchor long, row long, name long")
+    dealt = emitted.repartition(F.coalesce("anchor", "row")).sortWithinPartitions("anchor", "row")
+    found = dealt.mapInArrow(gather, "row long, anchor long, speaks boolean")
+    return found.groupBy("row").agg(F.collect_list(F.when(~F.col("speaks"), F.col("anchor"))).alias("quiet"), F.collect_list(F.when(F.col("speaks"), F.col("anchor"))).alias("spoken"))
 
 
 def _flat(lists: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -110,14 +186,17 @@ def _flat(lists: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 _SEGMENT = "shard long, segment long, row long, place int, owner long, codes binary"
 
 
-def segments(docs: DataFrame, repeated: DataFrame) -> DataFrame:
+def segments(docs: DataFrame, repeated: DataFrame, hot: np.ndarray) -> DataFrame:
     """Occurrences and texts of the segments of repeated anchors.
 
     A row with a null `codes` is an occurrence: of `segment`, at the word
     `place` of `row`, whose order is `owner`. A row with codes is a segment's
-    text, with the least owner that this task saw and no row.
+    text, with the least owner that this task saw and no row; the least owner of
+    all speaks for a segment that is its anchor's first.
     """
 
+    sent = docs.sparkSession.sparkContext.broadcast(hot)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         texts: dict[int, list] = {}
 
@@ -137,10 +216,12 @@ def segments(docs: DataFrame, repeated: DataFrame) -> DataFrame:
             # mark runs whose (text, anchor) is asked for
             asked = mix(hashes + doc.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
             chosen = []
-            for column in ("cold", "hot"):
+            for column in ("quiet", "spoken"):
                 values, rows = _flat(part.column(column))
                 chosen.append(np.isin(asked, mix(values.view(np.uint64) + rows.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))))
-            cold, hot = chosen
+            hot = _among(hashes, sent.value)
+            spoken = (chosen[1] | hot)[chosen[0] | chosen[1] | hot]
+            cold = (chosen[0] | chosen[1]) & ~hot
             # a hot run's windows are segments of their own
             each = np.where(hot, n, 1)[cold | hot]
             start = np.repeat(at[cold | hot], each)
@@ -162,7 +243,9 @@ def segments(docs: DataFrame, repeated: DataFrame) -> DataFrame:
                 [pa.array(shard), pa.array(ident.view(np.int64)), pa.array(rows), pa.array((start - words.first[doc]).astype(np.int32)), pa.array(owners), pa.nulls(len(start), pa.binary())],
                 names,
             )
-            for s, k, o, a, z in zip(shard.tolist(), ident.view(np.int64).tolist(), owners.tolist(), start.tolist(), size.tolist(), strict=True):
+            told = np.repeat(spoken, each)
+            columns = (shard[told], ident.view(np.int64)[told], owners[told], start[told], size[told])
+            for s, k, o, a, z in zip(*(c.tolist() for c in columns), strict=True):
                 if (known := texts.get(k)) is None:
                     texts[k] = [s, o, raw[a * _CODE_BYTES : (a + z) * _CODE_BYTES]]
                 elif o < known[1]:
@@ -172,7 +255,7 @@ def segments(docs: DataFrame, repeated: DataFrame) -> DataFrame:
         if texts:
             yield merged()
 
-    joined = docs.join(repeated, "row").select("row", "doc_id", "cold", "hot", "text")
+    joined = docs.join(repeated, "row").select("row", "doc_id", "quiet", "spoken", "text")
     return joined.mapInArrow(run, _SEGMENT)
 
 
@@ -231,12 +314,13 @@ def search_shards(texts: DataFrame) -> DataFrame:
     return named.mapInArrow(run, "segment long, owners array<long>")
 
 
-def removed_windows(docs: DataFrame) -> DataFrame:
+def removed_windows(docs: DataFrame, ordered: bool) -> DataFrame:
     """(row, windows): for each row that loses words its (place, mask); `docs` has row, doc_id, text.
 
     Bit i of a mask is set where the window i words after `place` is an earlier document's too.
     """
-    found = segments(docs, repeated_anchors(docs))
+    hot = hot_anchors(docs)
+    found = segments(docs, repeated_anchors(docs, hot, ordered), hot)
     texts = found.where("codes is not null").select("shard", "segment", "owner", "codes")
     held = found.where("codes is null").select("segment", "row", "place", "owner")
     judged = held.join(search_shards(texts), "segment")
@@ -269,8 +353,10 @@ def _with_windows(docs: DataFrame) -> DataFrame:
     repeats = not docs.groupBy("doc_id").count().where("count > 1 or doc_id is null").isEmpty()
     # ids that are unique serve as keys; else equal rows share one, and one of them is searched
     rows = docs.withColumn("__row", row_key("doc_id", "text") if repeats else F.col("doc_id").cast("long"))
-    slim = rows.select(F.col("__row").alias("row"), "doc_id", "text")
-    found = removed_windows(slim.dropDuplicates(["row"]) if repeats else slim)
+    # keys are never null; saying so lets both joins read one exchange of the texts
+    rows = rows.where("__row is not null")
+    slim = rows.select("doc_id", "text", F.col("__row").alias("row"))
+    found = removed_windows(slim.dropDuplicates(["row"]) if repeats else slim, ordered=not repeats)
     found = found.select(F.col("row").alias("__found"), F.col("windows").alias("__windows"))
     return rows.join(found, F.col("__row") == F.col("__found"), "left").drop("__row", "__found")
 
