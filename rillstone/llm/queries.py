@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rillstone.llm import decontamination, lm_scoring, ngram_join, packing, quality_classifier, quality_rules, substring_dedup, token_counts, url_filters, warc
+from rillstone.llm.oracles import ORACLE
 from rillstone.runtime import table
 
 
@@ -75,4 +76,5 @@ QUERIES = {
         op10_quality_rules,
     )
 }
-ORACLE: dict[str, str] = {}
+
+__all__ = ["ORACLE", "QUERIES"]

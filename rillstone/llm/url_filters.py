@@ -36,6 +36,8 @@ RULES = [
 TARGET = "\x00bad"
 MIN_SUPPORT = 0.002
 MIN_CONFIDENCE = 0.6
+#: Labelled pages that a rule must rest on, however small the share that they are.
+MIN_PAGES = 20
 #: An index of at most this many (token, rule) rows is broadcast; a larger one is joined by shuffle.
 BROADCAST_ROWS = 100_000
 
@@ -73,7 +75,7 @@ def tokens(url: Column) -> Column:
     return F.coalesce(F.array_distinct(F.filter(F.concat(host, path, keys), lambda x: F.length(x) > 2)), F.array().cast("array<string>"))
 
 
-def mine(pages: DataFrame, labels: DataFrame, bad: Column, min_support: float = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE) -> DataFrame:
+def mine(pages: DataFrame, labels: DataFrame, bad: Column, min_support: float = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE, min_pages: int = MIN_PAGES) -> DataFrame:
     """Rules (rule, tokens, confidence, support) from urls whose page_id is labelled.
 
     `bad`: a boolean over the columns of `labels`; several labels of an id must agree.
@@ -82,8 +84,9 @@ def mine(pages: DataFrame, labels: DataFrame, bad: Column, min_support: float =
     split = split_url(pages.select("page_id", "url"))
     baskets = split.join(told, split["page_id"] == told["doc_id"]).select(F.array_union(tokens(F.col("url")), F.when(F.col("bad"), F.array(F.lit(TARGET))).otherwise(F.array().cast("array<string>"))).alias("items"))
     baskets = cut(baskets.where(F.size("items") > 0))
+    support = min(1.0, max(min_support, min_pages / max(1, baskets.count())))
     # the label alone, at its own rate, says nothing: a rule's confidence must pass the limit by its tokens
-    model = FPGrowth(itemsCol="items", minSupport=min_support, minConfidence=min_confidence).fit(baskets)
+    model = FPGrowth(itemsCol="items", minSupport=support, minConfidence=min_confidence).fit(baskets)
     found = model.associationRules.where((F.size("consequent") == 1) & (F.col("consequent")[0] == TARGET) & (F.col("lift") > 1))
     found = found.select(F.sort_array("antecedent").alias("tokens"), "confidence", "support")
     return found.withColumn("rule", F.concat_ws(" ", "tokens"))
@@ -98,9 +101,9 @@ def matches(keyed: DataFrame, rules: DataFrame, rule_rows: int) -> DataFrame:
     return hits.groupBy("row").agg(F.max_by("rule", F.struct("confidence", "rule")).alias("mined"))
 
 
-def judge(pages: DataFrame, labels: DataFrame, bad: Column, rules=RULES, min_support: float = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE) -> DataFrame:
+def judge(pages: DataFrame, labels: DataFrame, bad: Column, rules=RULES, min_support: float = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE, min_pages: int = MIN_PAGES) -> DataFrame:
     """Per row of `pages`: page_id, host, path, rule, verdict, mined (the token rule that blocked it)."""
-    mined = cut(mine(pages, labels, bad, min_support, min_confidence))
+    mined = cut(mine(pages, labels, bad, min_support, min_confidence, min_pages))
     rule_rows = mined.agg(F.sum(F.size("tokens"))).first()[0] or 0
     name, says = written_rule(rules)
     split = split_url(pages.select("page_id", "url")).withColumn("rule", name).withColumn("says", says)
