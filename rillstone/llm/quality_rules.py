@@ -29,6 +29,8 @@ MAX_DOCUMENTS = 50
 MIN_SHARE = 0.3
 #: ... and fewer words than this.
 MIN_WORDS = 50
+#: Frequent lines of at most this number, 16 MB with their hosts, are broadcast; more are joined by shuffle.
+BROADCAST_LINES = 200_000
 
 
 def _neighbours(a: Column) -> Column:
@@ -83,27 +85,26 @@ def statistics(docs: DataFrame) -> DataFrame:
 
 def frequent_lines(stats: DataFrame, max_documents: int = MAX_DOCUMENTS) -> DataFrame:
     """(source, hash) of the lines that more than `max_documents` documents of a host share."""
-    told = stats.withColumn("hashes", F.sort_array(F.array_distinct(F.col("lines.hash")))).select(
-        "source", F.slice("hashes", 1, 2).alias("who"), F.explode("hashes").alias("hash")
-    )
+    hashes = F.sort_array(F.array_distinct(F.col("lines.hash")))
+    told = stats.select("source", hashes.alias("hashes")).select("source", F.xxhash64(F.slice("hashes", 1, 2)).alias("who"), F.explode("hashes").alias("hash"))
     return told.distinct().groupBy("source", "hash").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > max_documents).select("source", "hash")
 
 
 def assess(docs: DataFrame, max_documents: int = MAX_DOCUMENTS, min_share: float = MIN_SHARE, min_words: int = MIN_WORDS) -> DataFrame:
     """Per row of `docs`: doc_id, the base figures, n_line_words (words in removed lines), base_failed and kept."""
-    stats = cut(statistics(docs))
-    frequent = frequent_lines(stats, max_documents)
-    held = stats.select("row", "source", F.explode("lines").alias("line")).select("row", "source", "line.hash", "line.words")
-    # repeated rows: the sum over them is divided by their number
-    held = held.groupBy("row", "source", "hash").agg(F.sum("words").alias("words"))
-    copies = stats.groupBy("row").agg(F.count(F.lit(1)).alias("copies"))
-    frequent = frequent.select(F.col("source").alias("f_source"), F.col("hash").alias("f_hash"))
-    removed = held.join(frequent, held["source"].eqNullSafe(frequent["f_source"]) & (held["hash"] == frequent["f_hash"]), "left_semi").groupBy("row").agg(F.sum("words").alias("words"))
-    judged = stats.join(removed, "row", "left").join(copies, "row", "left")
-    line_words = F.coalesce((F.col("words") / F.col("copies")).cast("long"), F.lit(0).cast("long"))
+    # read anew for the lines and for the figures: Catalyst prunes each reading to what it needs
+    stats = statistics(docs)
+    frequent = cut(frequent_lines(stats, max_documents)).select(F.col("source").alias("f_source"), F.col("hash").alias("f_hash"))
+    if frequent.count() <= BROADCAST_LINES:
+        frequent = F.broadcast(frequent)
+    held = stats.select("row", "source", F.posexplode("lines").alias("place", "line")).select("row", "source", "place", "line.hash", "line.words")
+    held = held.join(frequent, F.col("source").eqNullSafe(F.col("f_source")) & (F.col("hash") == F.col("f_hash")), "left_semi")
+    # repeated rows hold the same places
+    removed = held.select("row", "place", "words").distinct().groupBy("row").agg(F.sum("words").alias("words"))
     left = F.col("n_words") - F.col("n_line_words")
     return (
-        judged.withColumn("n_line_words", line_words)
+        stats.join(removed, "row", "left")
+        .withColumn("n_line_words", F.coalesce("words", F.lit(0).cast("long")))
         .withColumn("base_failed", (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words")))
         .withColumn("kept", ~F.col("base_failed") & ~((left < min_words) & (left < min_share * F.col("n_words"))))
         .select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_line_words", "base_failed", "kept", "row")
