@@ -99,14 +99,19 @@ class FMIndex:
     @staticmethod
     def _sorted_suffixes(text: np.ndarray, depth: int) -> np.ndarray:
         """Places of the cyclic suffixes by their first `depth` symbols at least."""
-        rank, known = text.copy(), 1
-        order = np.argsort(rank, kind="stable")
+        # as many symbols as fit one key begin; each round doubles them
+        bits = max(1, int(text.max(initial=0)).bit_length())
+        known = max(1, min(depth, 62 // bits))
+        key = text.copy()
+        for i in range(1, known):
+            key = key << bits | np.roll(text, -i)
+        order = np.argsort(key)
         while known < depth:
-            key = rank * (int(rank.max(initial=0)) + 1) + np.roll(rank, -known)
-            order = np.argsort(key, kind="stable")
             ordered = key[order]
-            rank = np.empty_like(rank)
+            rank = np.empty_like(text)
             rank[order] = np.cumsum(np.append(0, ordered[1:] != ordered[:-1]))
+            key = rank * (int(rank.max(initial=0)) + 1) + np.roll(rank, -known)
+            order = np.argsort(key)
             known *= 2
         return order
 

@@ -183,31 +183,29 @@ def _flat(lists: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64), np.repeat(np.arange(len(lists)), np.diff(offsets))
 
 
-_SEGMENT = "shard long, segment long, row long, place int, owner long, codes binary"
+_OCCURRENCE = "segment long, row long, place int, owner long"
+_TEXT = "shard long, segment long, owner long, codes binary"
 
 
-def segments(docs: DataFrame, repeated: DataFrame, hot: np.ndarray) -> DataFrame:
-    """Occurrences and texts of the segments of repeated anchors.
+def segments(docs: DataFrame, repeated: DataFrame, hot: np.ndarray, texts: bool) -> DataFrame:
+    """Occurrences, or texts, of the segments of repeated anchors.
 
-    A row with a null `codes` is an occurrence: of `segment`, at the word
-    `place` of `row`, whose order is `owner`. A row with codes is a segment's
-    text, with the least owner that this task saw and no row; the least owner of
-    all speaks for a segment that is its anchor's first.
+    An occurrence is of `segment`, at the word `place` of `row`, whose order is
+    `owner`. A text is a segment's codes, with the least owner that this task
+    saw; the least owner of all speaks for a segment that is its anchor's first.
     """
 
     sent = docs.sparkSession.sparkContext.broadcast(hot)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        texts: dict[int, list] = {}
+        told: dict[int, list] = {}
 
         def merged() -> pa.RecordBatch:
-            columns = list(zip(*((s, k, None, None, o, c) for k, (s, o, c) in texts.items()), strict=True))
-            out = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names)
-            texts.clear()
-            return out
+            columns = list(zip(*((s, k, o, c) for k, (s, o, c) in told.items()), strict=True))
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary())
+            told.clear()
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], ["shard", "segment", "owner", "codes"])
 
-        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.binary())
-        names = ["shard", "segment", "row", "place", "owner", "codes"]
         for part, buf, offsets in pieces(batches):
             words = scan(buf, offsets)
             h = words.hashes()
@@ -220,8 +218,7 @@ def segments(docs: DataFrame, repeated: DataFrame, hot: np.ndarray) -> DataFrame
                 values, rows = _flat(part.column(column))
                 chosen.append(np.isin(asked, mix(values.view(np.uint64) + rows.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))))
             hot = _among(hashes, sent.value)
-            spoken = (chosen[1] | hot)[chosen[0] | chosen[1] | hot]
-            cold = (chosen[0] | chosen[1]) & ~hot
+            cold = (chosen[1] if texts else chosen[0] | chosen[1]) & ~hot
             # a hot run's windows are segments of their own
             each = np.where(hot, n, 1)[cold | hot]
             start = np.repeat(at[cold | hot], each)
@@ -232,31 +229,26 @@ def segments(docs: DataFrame, repeated: DataFrame, hot: np.ndarray) -> DataFrame
             if not len(start):
                 continue
             doc = np.searchsorted(words.first, start, "right") - 1
-            codes = h & np.uint64((1 << 8 * _CODE_BYTES) - 1)
-            raw = codes.view(np.uint8).reshape(-1, 8)[:, :_CODE_BYTES].tobytes()
-            # a segment's name: a hash of its words, by prefix sums of the same form as a word's
-            ident = _segment_names(h, start, size)
-            shard = np.where(single, ident.view(np.int64), np.repeat(hashes[cold | hot].view(np.int64), each))
+            ident = _segment_names(h, start, size).view(np.int64)
             owners = part.column("doc_id").cast(pa.int64()).fill_null(_LARGEST).to_numpy(zero_copy_only=False)[doc]
-            rows = part.column("row").to_numpy(zero_copy_only=False)[doc]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(shard), pa.array(ident.view(np.int64)), pa.array(rows), pa.array((start - words.first[doc]).astype(np.int32)), pa.array(owners), pa.nulls(len(start), pa.binary())],
-                names,
-            )
-            told = np.repeat(spoken, each)
-            columns = (shard[told], ident.view(np.int64)[told], owners[told], start[told], size[told])
-            for s, k, o, a, z in zip(*(c.tolist() for c in columns), strict=True):
-                if (known := texts.get(k)) is None:
-                    texts[k] = [s, o, raw[a * _CODE_BYTES : (a + z) * _CODE_BYTES]]
+            if not texts:
+                rows = part.column("row").to_numpy(zero_copy_only=False)[doc]
+                yield pa.RecordBatch.from_arrays([pa.array(ident), pa.array(rows), pa.array((start - words.first[doc]).astype(np.int32)), pa.array(owners)], ["segment", "row", "place", "owner"])
+                continue
+            raw = (h & np.uint64((1 << 8 * _CODE_BYTES) - 1)).view(np.uint8).reshape(-1, 8)[:, :_CODE_BYTES].tobytes()
+            shard = np.where(single, ident, np.repeat(hashes[cold | hot].view(np.int64), each))
+            for s, k, o, a, z in zip(*(c.tolist() for c in (shard, ident, owners, start, size)), strict=True):
+                if (known := told.get(k)) is None:
+                    told[k] = [s, o, raw[a * _CODE_BYTES : (a + z) * _CODE_BYTES]]
                 elif o < known[1]:
                     known[1] = o
-            if len(texts) > MERGED:
+            if len(told) > MERGED:
                 yield merged()
-        if texts:
+        if told:
             yield merged()
 
     joined = docs.join(repeated, "row").select("row", "doc_id", "quiet", "spoken", "text")
-    return joined.mapInArrow(run, _SEGMENT)
+    return joined.mapInArrow(run, _TEXT if texts else _OCCURRENCE)
 
 
 def _segment_names(h: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
@@ -320,10 +312,8 @@ def removed_windows(docs: DataFrame, ordered: bool) -> DataFrame:
     Bit i of a mask is set where the window i words after `place` is an earlier document's too.
     """
     hot = hot_anchors(docs)
-    found = segments(docs, repeated_anchors(docs, hot, ordered), hot)
-    texts = found.where("codes is not null").select("shard", "segment", "owner", "codes")
-    held = found.where("codes is null").select("segment", "row", "place", "owner")
-    judged = held.join(search_shards(texts), "segment")
+    repeated = repeated_anchors(docs, hot, ordered)
+    judged = segments(docs, repeated, hot, texts=False).join(search_shards(segments(docs, repeated, hot, texts=True)), "segment")
     bits = F.transform("owners", lambda x, i: F.when(x < F.col("owner"), F.pow(F.lit(2.0), i).cast("long")).otherwise(F.lit(0).cast("long")))
     mask = F.aggregate(bits, F.lit(0).cast("long"), lambda total, x: total + x)
     judged = judged.select("row", F.struct("place", mask.alias("mask")).alias("window")).where("window.mask != 0")
