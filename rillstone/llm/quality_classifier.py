@@ -42,13 +42,16 @@ PIECE = 1 << 17
 
 
 def padded(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Symbols of texts in whole blocks, with padding after each, and the first block of each."""
+    """Symbols of texts in whole blocks, with padding before and after each, and the first block of each.
+
+    Block k is at `k * BLOCK + WIDTH - 1`: a filter at a place looks back, at padding before a text's first byte.
+    """
     lengths = np.diff(offsets)
     blocks = (lengths + WIDTH - 1 + BLOCK - 1) // BLOCK
     blocks = np.maximum(blocks, 1)
     first = np.append(0, np.cumsum(blocks))
-    symbols = np.full(int(first[-1]) * BLOCK + WIDTH, PAD, np.int64)
-    symbols[np.arange(len(buf)) + np.repeat(first[:-1] * BLOCK - offsets[:-1], lengths)] = buf
+    symbols = np.full(int(first[-1]) * BLOCK + WIDTH - 1, PAD, np.int64)
+    symbols[np.arange(len(buf)) + np.repeat(first[:-1] * BLOCK + WIDTH - 1 - offsets[:-1], lengths)] = buf
     return symbols, first
 
 
@@ -65,7 +68,7 @@ class Network:
 
     def activations(self, symbols: np.ndarray) -> np.ndarray:
         """(block, place, filter) values."""
-        n = len(symbols) - WIDTH
+        n = len(symbols) - WIDTH + 1
         out = np.take(self.table[0], symbols[:n], axis=0)
         for j in range(1, WIDTH):
             out += np.take(self.table[j], symbols[j : n + j], axis=0)
