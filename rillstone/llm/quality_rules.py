@@ -5,9 +5,11 @@ arrays. Lines are hashed after normalising (lower case, one space between
 words), and a line is boilerplate where more than ``max_documents`` distinct
 documents of its host (column ``source``) hold it. Copies of one document, near
 ones included, count as one document here: they are told by the two smallest
-hashes of their lines, which an edit elsewhere leaves alone. Lines above the
-limit are removed, and a document that keeps less than ``min_share`` of its
-words and fewer than ``min_words`` is rejected.
+hashes of their lines, which an edit elsewhere leaves alone. So a large group of
+copies doesn't lose its lines, and is left to the removal of duplicates. Lines
+above the limit are removed, and a document that keeps less than ``min_share``
+of its words and fewer than ``min_words``, one put together from stock lines, is
+rejected.
 
 Edge cases: a null or empty text has no words, fails the base rule and isn't
 kept. A null host is a host of its own. Repeated rows each get the same result
@@ -33,6 +35,11 @@ MIN_WORDS = 50
 BROADCAST_LINES = 200_000
 
 
+def line_hash(line: Column) -> Column:
+    """The first 60 bits of the line's MD5, as a number that other engines can tell too."""
+    return F.conv(F.substring(F.md5(line.cast("binary")), 1, 15), 16, 10).cast("long")
+
+
 def _neighbours(a: Column) -> Column:
     """Pairs of neighbours of an array with two or more elements."""
     n = F.size(a)
@@ -66,7 +73,7 @@ def statistics(docs: DataFrame) -> DataFrame:
     threes = hashed.withColumns(
         {
             "t": F.when(n >= 3, F.slice(F.zip_with(pairs, F.slice("h", F.lit(3), F.greatest(n - 2, F.lit(0))), lambda a, b: F.xxhash64(a, b)), F.lit(1), F.greatest(n - 2, F.lit(0)))).otherwise(F.array().cast("array<bigint>")),
-            "lines": F.transform("l", lambda x: F.struct(F.xxhash64(x).alias("hash"), F.size(F.split(x, " ")).cast("long").alias("words"))),
+            "lines": F.transform("l", lambda x: F.struct(line_hash(x).alias("hash"), F.size(F.split(x, " ")).cast("long").alias("words"))),
         }
     ).drop("h", "l")
     # places of windows whose hash occurs twice or more, in order
