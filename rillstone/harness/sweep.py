@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import csv
 import statistics
+import threading
 import time
+import uuid
 from collections.abc import Mapping
 from dataclasses import dataclass
 from pathlib import Path
@@ -29,11 +31,16 @@ class Outcome:
     verdict: str
 
 
+def _cancel(spark: SparkSession, group: str, late: threading.Event) -> None:
+    late.set()
+    spark.sparkContext.cancelJobGroup(group)
+
+
 def sweep(spark: SparkSession, text: str | Tree, facts: Mapping[str, DataFrame], times: int = 1, limit: float | None = None, chosen: list[Variant] | None = None) -> list[Outcome]:
     """Runs each variant, the textual one first; sizes must equal its sizes.
 
-    A variant beyond `limit` seconds on its first run isn't run again. One whose
-    sizes are missing fails: nothing passes unseen.
+    A variant's jobs are cancelled `limit` seconds into its first run, and it isn't
+    run again. One whose sizes are missing fails: nothing passes unseen.
     """
     tree = parse(text) if isinstance(text, str) else text
     out: list[Outcome] = []
@@ -43,16 +50,27 @@ def sweep(spark: SparkSession, text: str | Tree, facts: Mapping[str, DataFrame],
         def work(program=program) -> dict[str, int]:
             return program.run(spark, facts).sizes()
 
+        group, began = f"sweep-{uuid.uuid4().hex}", time.perf_counter()
+        late = threading.Event()
+        watch = threading.Timer(limit, _cancel, (spark, group, late)) if limit is not None else None
         try:
-            began = time.perf_counter()
+            spark.sparkContext.setJobGroup(group, f"plan {v.name}", interruptOnCancel=True)
+            if watch is not None:
+                watch.start()
             runs = timed(work, 1)
-            if limit is not None and time.perf_counter() - began > limit:
-                out.append(Outcome(v, None, runs[0].peak_kib / 1024, 0, None, "TIMEOUT"))
-                continue
+            if limit is not None and (late.is_set() or time.perf_counter() - began > limit):
+                raise TimeoutError
+            if watch is not None:
+                watch.cancel()
             runs += timed(work, times - 1)
         except Exception as e:  # a variant that fails is a row of the result
-            out.append(Outcome(v, None, None, 0, None, f"FAIL: {type(e).__name__}"))
+            beyond = late.is_set() or isinstance(e, TimeoutError)
+            out.append(Outcome(v, None, None, 0, None, "TIMEOUT" if beyond else f"FAIL: {type(e).__name__}"))
             continue
+        finally:
+            if watch is not None:
+                watch.cancel()
+            spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
         middle = median_run(runs)
         sizes = middle.value
         first = out[0].sizes if out else sizes

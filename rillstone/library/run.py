@@ -8,8 +8,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from rillstone.library.facts import CHAIN
 from rillstone.library.operators import NATION, OPERATORS
 from rillstone.library.programs import PROGRAMS, Query
+from rillstone.operators.search import shortest_lengths
 from rillstone.program import Program
 from rillstone.runtime import ensure_checkpoint_dir, table
 from rillstone.sources.facts import write_relation
@@ -58,13 +60,26 @@ def sizes_of_closure(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Program.parse(query.text).run(spark, {name: spark.sql(text) for name, text in query.facts.items()}).size_frame()
 
 
+#: From each customer's first order to the last one, and to the last order of the table.
+PAIRS = """select source, target from (select cast(min(struct(o_orderdate, o_orderkey)).o_orderkey as bigint) as source,
+  cast(max(struct(o_orderdate, o_orderkey)).o_orderkey as bigint) as target from orders group by o_custkey) t"""
+
+
+def early_stop(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Steps along each customer's chain of orders, stopped where the target is reached."""
+    use_tables(spark, sf_dir)
+    return shortest_lengths(spark.sql(CHAIN), spark.sql(PAIRS))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = {name: (lambda spark, sf_dir, q=query: run_query(spark, sf_dir, q)) for name, query in (PROGRAMS | OPERATORS).items()}
-    return found | {"s1_file_round_trip": file_round_trip, "s9_printsize": sizes_of_closure}
+    return found | {"s1_file_round_trip": file_round_trip, "s9_printsize": sizes_of_closure, "r9_early_stop": early_stop}
 
 
 def oracle_sql() -> dict[str, str]:
     found = {name: sql for name, query in (PROGRAMS | OPERATORS).items() if (sql := query.sql())}
     found["s1_file_round_trip"] = "select n_nationkey as n, n_name as name, n_regionkey as r, cast((select count(*) from nation) as bigint) as size from nation"
     found["s9_printsize"] = f"select 'Tc' as relation, cast(count(*) as bigint) as size from ({found['tc']}) t"
+    found["r9_early_stop"] = """select cast(arg_min(o_orderkey, (o_orderdate, o_orderkey)) as bigint) as source,
+      cast(arg_max(o_orderkey, (o_orderdate, o_orderkey)) as bigint) as target, cast(count(*) - 1 as bigint) as length from orders group by o_custkey"""
     return found

@@ -133,3 +133,34 @@ def test_datasets_are_never_deleted_through_links(tmp_path):
         runs.remove_dataset(str(tmp_path / "link"))
     runs.remove_dataset(str(tmp_path / "real"))
     assert not (tmp_path / "real").exists()
+
+
+def test_parameters_are_checked_one_by_one(spark, tmp_path):
+    from rillstone.harness.parameters import crosscheck, write_tsv
+    from rillstone.program import Program
+
+    program = Program.parse(".decl A(x: int64, y: int64)\n.decl Param(x: int64)\n.decl Out(y: int64)\nOut(y) :- Param(x), A(x, y).")
+    arcs = [(1, 2), (1, 3), (2, 4)]
+
+    def other(parameter):
+        if parameter == (3,):
+            raise RuntimeError
+        return [(y,) for x, y in arcs if x == parameter[0]] + ([(99,)] if parameter == (2,) else [])
+
+    verdict, lines = crosscheck(spark, program, {"A": spark.createDataFrame(arcs, "x long, y long")}, "Param", [(1,), (2,), (3,), (4,)], "Out", other)
+    assert verdict == "PARTIAL" and [line.verdict for line in lines] == ["OK", "MISMATCH", "THEIRS_ERROR", "OK"]
+    write_tsv(lines, str(tmp_path / "p.tsv"))
+    rows = [line.split("\t") for line in (tmp_path / "p.tsv").read_text().splitlines()]
+    assert [r[4:] for r in rows[1:]] == [["2", "2", "OK"], ["1", "2", "MISMATCH"], ["0", "0", "THEIRS_ERROR"], ["0", "0", "OK"]]
+
+
+def test_sessions_keep_their_settings(spark):
+    from rillstone.session import SETTINGS, session
+
+    before = {k: spark.conf.get(k, None) for k in SETTINGS}
+    try:
+        assert session().conf.get("spark.sql.adaptive.skewJoin.enabled") == "true"
+    finally:
+        for k, v in before.items():
+            if v is not None and spark.conf.isModifiable(k):
+                spark.conf.set(k, v)
