@@ -31,8 +31,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from rillstone.llm.fm_index import FMIndex
 from rillstone.llm.words import Words, buffers, mix, pieces, scan, windows
@@ -187,8 +189,34 @@ _OCCURRENCE = "segment long, row long, place int, owner long"
 _TEXT = "shard long, segment long, owner long, codes binary"
 
 
+def squeezed(docs: DataFrame) -> DataFrame:
+    """`docs` with texts compressed one by one: two thirds of what a shuffle makes of them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder = zstandard.ZstdCompressor(level=1)
+        for batch in batches:
+            for low in range(0, batch.num_rows, 500):
+                part = batch.slice(low, 500)
+                texts = part.column("text").cast(pa.large_binary()).to_pylist()
+                small = pa.array([None if t is None else encoder.compress(t) for t in texts], pa.binary())
+                yield pa.RecordBatch.from_arrays([small if n == "text" else part.column(n) for n in part.schema.names], part.schema.names)
+
+    schema = T.StructType([T.StructField(f.name, T.BinaryType() if f.name == "text" else f.dataType) for f in docs.schema])
+    return docs.mapInArrow(run, schema)
+
+
+def _restored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches with their texts' bytes as they were."""
+    decoder = zstandard.ZstdDecompressor()
+    for batch in batches:
+        for low in range(0, batch.num_rows, 500):
+            part = batch.slice(low, 500)
+            texts = pa.array([None if t is None else decoder.decompress(t) for t in part.column("text").to_pylist()], pa.large_binary())
+            yield pa.RecordBatch.from_arrays([texts if n == "text" else part.column(n) for n in part.schema.names], part.schema.names)
+
+
 def segments(docs: DataFrame, repeated: DataFrame, hot: np.ndarray, texts: bool) -> DataFrame:
-    """Occurrences, or texts, of the segments of repeated anchors.
+    """Occurrences, or texts, of the segments of repeated anchors; `docs` as `squeezed` gives them.
 
     An occurrence is of `segment`, at the word `place` of `row`, whose order is
     `owner`. A text is a segment's codes, with the least owner that this task
@@ -206,7 +234,7 @@ def segments(docs: DataFrame, repeated: DataFrame, hot: np.ndarray, texts: bool)
             told.clear()
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], ["shard", "segment", "owner", "codes"])
 
-        for part, buf, offsets in pieces(batches):
+        for part, buf, offsets in pieces(_restored(batches)):
             words = scan(buf, offsets)
             h = words.hashes()
             at, n, hashes = runs(words, h)
@@ -232,7 +260,7 @@ def segments(docs: DataFrame, repeated: DataFrame, hot: np.ndarray, texts: bool)
             ident = _segment_names(h, start, size).view(np.int64)
             owners = part.column("doc_id").cast(pa.int64()).fill_null(_LARGEST).to_numpy(zero_copy_only=False)[doc]
             if not texts:
-                rows = part.column("row").to_numpy(zero_copy_only=False)[doc]
+                rows = part.column("__row").to_numpy(zero_copy_only=False)[doc]
                 yield pa.RecordBatch.from_arrays([pa.array(ident), pa.array(rows), pa.array((start - words.first[doc]).astype(np.int32)), pa.array(owners)], ["segment", "row", "place", "owner"])
                 continue
             raw = (h & np.uint64((1 << 8 * _CODE_BYTES) - 1)).view(np.uint8).reshape(-1, 8)[:, :_CODE_BYTES].tobytes()
@@ -247,7 +275,7 @@ def segments(docs: DataFrame, repeated: DataFrame, hot: np.ndarray, texts: bool)
         if told:
             yield merged()
 
-    joined = docs.join(repeated, "row").select("row", "doc_id", "quiet", "spoken", "text")
+    joined = docs.join(repeated.withColumnRenamed("row", "__row"), "__row").select("__row", "doc_id", "quiet", "spoken", "text")
     return joined.mapInArrow(run, _TEXT if texts else _OCCURRENCE)
 
 
@@ -306,14 +334,15 @@ def search_shards(texts: DataFrame) -> DataFrame:
     return named.mapInArrow(run, "segment long, owners array<long>")
 
 
-def removed_windows(docs: DataFrame, ordered: bool) -> DataFrame:
-    """(row, windows): for each row that loses words its (place, mask); `docs` has row, doc_id, text.
+def removed_windows(docs: DataFrame, small: DataFrame, ordered: bool) -> DataFrame:
+    """(row, windows): for each row that loses words its (place, mask); `docs` has row, doc_id, text, and
+    `small` is it squeezed, with the row as __row.
 
     Bit i of a mask is set where the window i words after `place` is an earlier document's too.
     """
     hot = hot_anchors(docs)
     repeated = repeated_anchors(docs, hot, ordered)
-    judged = segments(docs, repeated, hot, texts=False).join(search_shards(segments(docs, repeated, hot, texts=True)), "segment")
+    judged = segments(small, repeated, hot, texts=False).join(search_shards(segments(small, repeated, hot, texts=True)), "segment")
     bits = F.transform("owners", lambda x, i: F.when(x < F.col("owner"), F.pow(F.lit(2.0), i).cast("long")).otherwise(F.lit(0).cast("long")))
     mask = F.aggregate(bits, F.lit(0).cast("long"), lambda total, x: total + x)
     judged = judged.select("row", F.struct("place", mask.alias("mask")).alias("window")).where("window.mask != 0")
@@ -339,23 +368,25 @@ def _covered(words: Words, windows_column: pa.Array) -> np.ndarray:
 
 
 def _with_windows(docs: DataFrame) -> DataFrame:
-    """`docs` with __windows: the removed windows of each row, null where it loses nothing."""
+    """`docs`, squeezed, with __windows: the removed windows of each row, null where it loses nothing."""
     repeats = not docs.groupBy("doc_id").count().where("count > 1 or doc_id is null").isEmpty()
     # ids that are unique serve as keys; else equal rows share one, and one of them is searched
     rows = docs.withColumn("__row", row_key("doc_id", "text") if repeats else F.col("doc_id").cast("long"))
     # keys are never null; saying so lets both joins read one exchange of the texts
-    rows = rows.where("__row is not null")
-    slim = rows.select("doc_id", "text", F.col("__row").alias("row"))
-    found = removed_windows(slim.dropDuplicates(["row"]) if repeats else slim, ordered=not repeats)
+    small = squeezed(rows).where("__row is not null")
+    plain, sent = rows.select("doc_id", "text", F.col("__row").alias("row")), small.select("doc_id", "text", "__row")
+    if repeats:
+        plain, sent = plain.dropDuplicates(["row"]), sent.dropDuplicates(["__row"])
+    found = removed_windows(plain, sent, ordered=not repeats)
     found = found.select(F.col("row").alias("__found"), F.col("windows").alias("__windows"))
-    return rows.join(found, F.col("__row") == F.col("__found"), "left").drop("__row", "__found")
+    return small.join(found, F.col("__row") == F.col("__found"), "left").drop("__row", "__found")
 
 
 def assess(docs: DataFrame) -> DataFrame:
     """Per row of `docs`: doc_id, n_words, n_removed and kept, its kept words joined by one space."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, buf, offsets in pieces(batches):
+        for part, buf, offsets in pieces(_restored(batches)):
             words = scan(buf, offsets)
             gone = _covered(words, part.column("__windows"))
             removed = np.append(0, np.cumsum(gone))
@@ -377,7 +408,7 @@ def remove(docs: DataFrame) -> DataFrame:
     schema = docs.schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, buf, offsets in pieces(batches):
+        for part, buf, offsets in pieces(_restored(batches)):
             words = scan(buf, offsets)
             gone = _covered(words, part.column("__windows"))
             first, texts, stays = words.first.tolist(), [], []
@@ -385,7 +416,7 @@ def remove(docs: DataFrame) -> DataFrame:
                 lost = gone[low:high]
                 stays.append(not (high > low and lost.all()))
                 if not lost.any() or not stays[-1]:
-                    texts.append(part.column("text")[i].as_py())
+                    texts.append(None if (t := part.column("text")[i].as_py()) is None else t.decode("utf-8", "replace"))
                     continue
                 # cut from a lost word's start to the next kept word's, or to the end
                 keep = np.ones(int(offsets[i + 1] - offsets[i]), np.int8)
