@@ -164,3 +164,17 @@ def test_sessions_keep_their_settings(spark):
         for k, v in before.items():
             if v is not None and spark.conf.isModifiable(k):
                 spark.conf.set(k, v)
+
+
+def test_charts_hold_every_value():
+    import xml.etree.ElementTree as tree
+
+    from rillstone.harness import charts
+
+    rows = {"tc": {"ours": 1.0, "other": 10.0}, "sg": {"ours": 2.0, "other": 3.0}, "cc<": {"ours": 5.0, "other": None}}
+    assert charts.slowdown_order(rows, "ours") == ["tc", "sg", "cc<"]
+    svg = charts.bars(rows, "ours", "time & size")
+    assert tree.fromstring(svg).tag.endswith("svg") and svg.count("<title>") == 5 and svg.count("×") == 1
+    strip = charts.strip({"default": 1.0, "a": 0.5, "b": 2.0})
+    assert tree.fromstring(strip) is not None and strip.count("<circle") == 3
+    assert "nothing measured" in charts.bars({}, "ours", "t") and "nothing measured" in charts.strip({})
