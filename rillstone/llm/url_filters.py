@@ -38,7 +38,7 @@ MIN_SUPPORT = 0.002
 MIN_CONFIDENCE = 0.6
 #: Labelled pages that a rule must rest on, however small the share that they are.
 MIN_PAGES = 20
-#: An index of at most this many (token, rule) rows is broadcast; a larger one is joined by shuffle.
+#: An index of at most this many (token, rule) rows, or this many matched token sets, is broadcast; more are joined by shuffle.
 BROADCAST_ROWS = 100_000
 
 
@@ -111,8 +111,9 @@ def judge(pages: DataFrame, labels: DataFrame, bad: Column, rules=RULES, min_sup
     # urls of equal tokens share a judgement, so a crowded host is matched once
     split = split.withColumn("row", F.xxhash64("tokens"))
     keyed = split.where("says is null").select("row", "tokens").dropDuplicates(["row"])
-    found = matches(keyed, mined, rule_rows)
-    out = split.join(found, "row", "left")
+    found = cut(matches(keyed, mined, rule_rows))
+    # a crowded host's rows are spread wherever they are read, if what they meet is small
+    out = split.join(F.broadcast(found) if found.count() <= BROADCAST_ROWS else found, "row", "left")
     mined_name = F.when(F.col("says").isNull(), F.col("mined"))
     verdict = F.coalesce("says", F.when(F.col("mined").isNotNull(), F.lit("block")).otherwise(F.lit("allow")))
     return out.select("page_id", "host", "path", "rule", verdict.alias("verdict"), mined_name.alias("mined"))
