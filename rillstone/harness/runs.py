@@ -18,7 +18,7 @@ class IdentityChanged(RuntimeError):
 
 @dataclass(frozen=True)
 class Pair:
-    """A program and a dataset, with tags such as `souffle:skip`."""
+    """A program and a dataset, with tags such as `slow:skip`."""
 
     program: str
     dataset: str

@@ -18,6 +18,7 @@ from rillstone.plans.syntax import Tree, parse
 from rillstone.plans.variants import Variant, apply, variants
 from rillstone.program import Program
 
+#: Columns of a sweep's file: fixed values of the format.
 HEADER = ["Variant", "Kind", "Signature", "Total_s", "PeakRss_MB", "Runs", "VsDefault", "SemanticPreserve"]
 
 
