@@ -1,8 +1,8 @@
 """Words of Arrow text columns as numpy arrays.
 
 A whole batch is scanned at once: bytes are classed by a lookup table, word
-borders are where the class changes, and a word's 64-bit hash is the
-difference of two prefix sums. Batches are cut into pieces of about
+borders are where the class changes, and words are hashed eight bytes at a
+time. Batches are cut into pieces of about
 ``PIECE_BYTES`` of text, so memory stays flat however many rows arrive; a
 single longer text is a piece of its own.
 
@@ -29,23 +29,8 @@ PLAIN[0x30:0x3A] = PLAIN[0x61:0x7B] = PLAIN[0x80:] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[0x41:0x5B] += 32
 
-_MASK = (1 << 64) - 1
-_BASE = 0x9E3779B97F4A7C15
-_BASE_INVERSE = pow(_BASE, -1, 1 << 64)
-#: A fixed pseudo-random value for each byte.
-_VALUES = np.random.Generator(np.random.PCG64(20240601)).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
-
-
-def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of the base and of its inverse, modulo 2**64, for exponents below n."""
-    if len(_powers[0]) < n:
-        n = 1 << (n - 1).bit_length()
-        for i, base in enumerate((_BASE, _BASE_INVERSE)):
-            steps = np.full(n, base, np.uint64)
-            steps[0] = 1
-            _powers[i] = np.multiply.accumulate(steps)
-    return _powers[0], _powers[1]
+#: The low bytes of a 64-bit word, by how many count.
+_LOW_BYTES = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -78,12 +63,23 @@ class Words:
         return np.repeat(np.arange(len(self.first) - 1), self.counts)
 
     def hashes(self) -> np.ndarray:
-        """A 64-bit hash of each word's bytes."""
-        power, inverse = _power_tables(len(self.buf) + 1)
-        sums = np.zeros(len(self.buf) + 1, np.uint64)
-        np.cumsum(_VALUES[self.buf] * power[: len(self.buf)], out=sums[1:])
-        h = (sums[self.ends] - sums[self.starts]) * inverse[self.starts]
-        return mix(h + (self.ends - self.starts).astype(np.uint64))
+        """A 64-bit hash of each word's bytes, eight at a time."""
+        held = np.zeros(len(self.buf) + 8, np.uint8)
+        held[: len(self.buf)] = self.buf
+        eights = np.lib.stride_tricks.as_strided(held, (len(self.buf) + 1, 8), (1, 1))
+
+        def bytes_at(at: np.ndarray, left: np.ndarray) -> np.ndarray:
+            return eights[at].view("<u8").ravel() & _LOW_BYTES[np.minimum(left, 8)]
+
+        left = self.ends - self.starts
+        h = mix(bytes_at(self.starts, left) + left.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+        longer = np.flatnonzero(left > 8)
+        at, left = self.starts[longer] + 8, left[longer] - 8
+        while len(longer):
+            h[longer] = mix(h[longer] * np.uint64(0xD6E8FEB86659FD93) + bytes_at(at, left))
+            more = left > 8
+            longer, at, left = longer[more], at[more] + 8, left[more] - 8
+        return h
 
     def text(self, i: int) -> bytes:
         return self.buf[self.starts[i] : self.ends[i]].tobytes()
