@@ -55,25 +55,28 @@ _CODE_BYTES = 6
 
 def runs(words: Words, h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """First window, number of windows and anchor hash of each run of windows of one text with one anchor."""
-    grams = windows(h, GRAM)
+    grams, width = windows(h, GRAM), WINDOW - GRAM + 1
     n = len(h) - WINDOW + 1
-    if n <= 0:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64)
-    best, place = grams[:n].copy(), np.zeros(n, np.int8)
-    for j in range(1, WINDOW - GRAM + 1):
-        other = grams[j : j + n]
-        less = other < best
-        best[less] = other[less]
-        place[less] = j
+    none = np.zeros(0, np.int64)
     doc = words.doc
-    inside = np.flatnonzero(doc[:n] == doc[WINDOW - 1 :])
+    inside = np.flatnonzero(doc[:n] == doc[WINDOW - 1 :]) if n > 0 else none
     if not len(inside):
-        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64)
-    anchor = inside + place[inside]
-    new = np.append(True, (anchor[1:] != anchor[:-1]) | (inside[1:] != inside[:-1] + 1))
+        return none, none, np.zeros(0, np.uint64)
+    # least hash of the window's grams, by spans that double
+    least, span = grams, 1
+    while 2 * span <= width:
+        least = np.minimum(least[:-span], least[span:])
+        span *= 2
+    if span < width:
+        least = np.minimum(least[: len(least) - (width - span)], least[width - span :])
+    best = least[inside]
+    new = np.append(True, (best[1:] != best[:-1]) | (inside[1:] != inside[:-1] + 1))
+    # a gram that repeats makes long runs: they are cut
+    place = np.arange(len(inside))
+    new |= (place - np.maximum.accumulate(np.where(new, place, 0))) % width == 0
     firsts = np.flatnonzero(new)
     # 48 bits do: anchors that meet by chance cost time, no result, and zeros are shuffled for little
-    return inside[firsts], np.diff(np.append(firsts, len(inside))), best[inside[firsts]] >> np.uint64(16)
+    return inside[firsts], np.diff(np.append(firsts, len(inside))), best[firsts] >> np.uint64(16)
 
 
 def hot_anchors(docs: DataFrame) -> np.ndarray:
