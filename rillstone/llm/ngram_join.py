@@ -45,6 +45,8 @@ MOST_HOT = 50_000
 #: Tokens that one task holds of a group, or of a cluster.
 GROUP_TOKENS = 1 << 22
 CLUSTER_TOKENS = 1 << 20
+#: Ids of removed documents of at most this number, 16 MB, are broadcast.
+BROADCAST_IDS = 1_000_000
 _LARGEST = np.iinfo(np.int64).max
 
 
@@ -68,6 +70,17 @@ class Sets:
         return self.tokens[self.first[i] : self.first[i + 1]]
 
 
+def _by_owner(tokens: np.ndarray, owner: np.ndarray, owners: int) -> np.ndarray:
+    """The order by owner, then token: one sort of a key of both, if that tells all tokens apart."""
+    if owners < 1 << 16:
+        key = owner.astype(np.uint64) << np.uint64(48) | tokens >> np.uint64(16)
+        order = np.argsort(key)
+        key, ordered = key[order], tokens[order]
+        if not ((key[1:] == key[:-1]) & (ordered[1:] < ordered[:-1])).any():
+            return order
+    return np.lexsort((tokens, owner))
+
+
 def shingle_sets(buf: np.ndarray, offsets: np.ndarray) -> Sets:
     """The sets of shingles of texts."""
     words = scan(buf, offsets, SPACED, lower=True)
@@ -79,7 +92,7 @@ def shingle_sets(buf: np.ndarray, offsets: np.ndarray) -> Sets:
     if len(short):
         whole = [mix(windows(h[words.first[i] : words.first[i + 1]], int(count[i])) + np.uint64(count[i]))[0] for i in short.tolist()]
         tokens, owner = np.append(tokens, np.array(whole, np.uint64)), np.append(owner, short)
-    order = np.lexsort((tokens, owner))
+    order = _by_owner(tokens, owner, len(count))
     tokens, owner = tokens[order], owner[order]
     new = np.append(True, (tokens[1:] != tokens[:-1]) | (owner[1:] != owner[:-1])) if len(tokens) else np.zeros(0, bool)
     tokens, owner = tokens[new], owner[new]
@@ -353,7 +366,10 @@ def assess(docs: DataFrame) -> DataFrame:
 
 def keep_one(docs: DataFrame) -> DataFrame:
     """The rows of `docs` that are the smallest of their component; of repeated ids one row each."""
-    stays = assess(docs).where("doc_id <=> component_id").select(F.col("doc_id").alias("__stays")).distinct()
-    kept = docs.join(stays, F.col("doc_id").eqNullSafe(F.col("__stays")), "left_semi")
-    repeats = not docs.groupBy("doc_id").count().where("count > 1").isEmpty()
-    return kept.dropDuplicates(["doc_id"]) if repeats else kept
+    judged = assess(docs)
+    if not docs.groupBy("doc_id").count().where("count > 1 or doc_id is null").isEmpty():
+        stays = judged.where("doc_id <=> component_id").select(F.col("doc_id").alias("__stays")).distinct()
+        return docs.join(stays, F.col("doc_id").eqNullSafe(F.col("__stays")), "left_semi").dropDuplicates(["doc_id"])
+    gone = cut(judged.where("doc_id <> component_id").select(F.col("doc_id").alias("__gone")))
+    # few ids go to the texts; many and the texts are shuffled
+    return docs.join(F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone, F.col("doc_id") == F.col("__gone"), "left_anti")

@@ -33,6 +33,8 @@ MIN_SHARE = 0.3
 MIN_WORDS = 50
 #: Frequent lines of at most this number, 16 MB with their hosts, are broadcast; more are joined by shuffle.
 BROADCAST_LINES = 200_000
+#: Keys of rejected rows of at most this number, 16 MB, are broadcast.
+BROADCAST_ROWS = 1_000_000
 
 
 def line_hash(line: Column) -> Column:
@@ -120,5 +122,7 @@ def assess(docs: DataFrame, max_documents: int = MAX_DOCUMENTS, min_share: float
 
 def filter_documents(docs: DataFrame, **limits) -> DataFrame:
     """The rows of `docs` that `assess` keeps, with the columns they came with."""
-    rejected = assess(docs, **limits).where(~F.col("kept")).select(F.col("row").alias("__row")).distinct()
+    rejected = cut(assess(docs, **limits).where(~F.col("kept")).select(F.col("row").alias("__row")).distinct())
+    # few keys go to the texts; many and the texts are shuffled
+    rejected = F.broadcast(rejected) if rejected.count() <= BROADCAST_ROWS else rejected
     return docs.withColumn("__key", row_key("doc_id", "text", "source")).join(rejected, F.col("__key") == F.col("__row"), "left_anti").drop("__key")

@@ -63,7 +63,9 @@ def test_empty_table(spark, documents):
     assert J.assess(documents()).count() == 0 and J.keep_one(documents()).count() == 0
 
 
-def test_keep_one_keeps_columns(spark, documents):
+@pytest.mark.parametrize("most", [0, 1_000_000])
+def test_keep_one_keeps_columns(spark, documents, monkeypatch, most):
+    monkeypatch.setattr(J, "BROADCAST_IDS", most)
     text = " ".join(f"w{i}" for i in range(30))
     frame = documents((3, text), (1, text), (2, text + " more"), (4, "alone"), (5, None)).withColumnRenamed("lang", "class")
     out = J.keep_one(frame)

@@ -43,7 +43,9 @@ def boiler(n, source="s"):
     return [(d, "\n".join([f"unique words of document number {d} come here", *choose.sample(stock, 4)]), source) for d in range(n)]
 
 
-def test_documents_of_stock_lines_are_rejected(spark, documents):
+@pytest.mark.parametrize("most", [0, 1_000_000])
+def test_documents_of_stock_lines_are_rejected(spark, documents, monkeypatch, most):
+    monkeypatch.setattr(Q, "BROADCAST_ROWS", most)
     rows = [*boiler(40), (100, " ".join(f"w{i}" for i in range(70)), "s"), *[(200 + d, t, "other") for d, t, _ in boiler(2)]]
     out = {r["doc_id"]: r for r in Q.assess(documents(*rows), max_documents=5).collect()}
     assert not any(out[d]["kept"] for d in range(40)) and out[0]["n_line_words"] == 4 * 15
