@@ -177,7 +177,10 @@ def mark_revisits(pages: DataFrame) -> DataFrame:
 
 def write(pages: DataFrame, path: str, dictionary_pages: int = DICTIONARY_PAGES, archive_bytes: int = ARCHIVE_BYTES) -> None:
     """Writes a record for each row of `pages` to archives in the folder `path`."""
-    sample = pages.where(F.length("html") > 0).select(F.xxhash64("html").alias("h"), F.substring("html", 1, SAMPLE_CHARS).alias("html")).orderBy("h", "html").limit(dictionary_pages)
+    total, n = pages.agg(F.sum(F.octet_length("html")), F.count(F.lit(1))).first()
+    # about twice as many pages as are wanted pass by their hash, from all partitions together
+    hashed = pages.where(F.length("html") > 0).select(F.xxhash64("html").alias("h"), F.substring("html", 1, SAMPLE_CHARS).alias("html"))
+    sample = hashed.where(F.pmod("h", F.lit(max(1, n // (2 * dictionary_pages)))) == 0).orderBy("h", "html").limit(dictionary_pages)
     raw = train([VERSION + b"\r\n" + r["html"].encode() for r in sample.collect()])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -196,8 +199,7 @@ def write(pages: DataFrame, path: str, dictionary_pages: int = DICTIONARY_PAGES,
         if rows:
             yield pa.RecordBatch.from_arrays([pa.array(rows, pa.binary())], ["frame"])
 
-    total = pages.agg(F.sum(F.octet_length("html"))).first()[0] or 0
-    marked = mark_revisits(pages).drop("digest").coalesce(max(1, -(-total // archive_bytes)))
+    marked = mark_revisits(pages).drop("digest").coalesce(max(1, -(-(total or 0) // archive_bytes)))
     frame = marked.mapInArrow(run, "frame binary").select(F.col("frame").cast("string").alias("value"))
     frame.write.option("lineSep", SEPARATOR).text(path)
 
