@@ -3,11 +3,9 @@
 Only DataFrame functions run on the main path. Statistics are per row, on
 arrays. Lines are hashed after normalising (lower case, one space between
 words), and a line is boilerplate where more than ``max_documents`` distinct
-documents of its host (column ``source``) hold it. Copies of one document, near
-ones included, count as one document here: they are told by the two smallest
-hashes of their lines, which an edit elsewhere leaves alone. So a large group of
-copies doesn't lose its lines, and is left to the removal of duplicates. Lines
-above the limit are removed, and a document that keeps less than ``min_share``
+documents of its host (column ``source``) hold it. Documents that hold the same
+set of lines are copies and count as one; documents that differ in any line are
+distinct. Lines above the limit are removed, and a document that keeps less than ``min_share``
 of its words and fewer than ``min_words``, one put together from stock lines, is
 rejected.
 
@@ -95,7 +93,8 @@ def statistics(docs: DataFrame) -> DataFrame:
 def frequent_lines(stats: DataFrame, max_documents: int = MAX_DOCUMENTS) -> DataFrame:
     """(source, hash) of the lines that more than `max_documents` documents of a host share."""
     hashes = F.sort_array(F.array_distinct(F.col("lines.hash")))
-    told = stats.select("source", hashes.alias("hashes")).select("source", F.xxhash64(F.slice("hashes", 1, 2)).alias("who"), F.explode("hashes").alias("hash"))
+    # copies are told by all their lines: a part of them may be stock lines that unlike documents share
+    told = stats.select("source", hashes.alias("hashes")).select("source", F.xxhash64("hashes").alias("who"), F.explode("hashes").alias("hash"))
     return told.distinct().groupBy("source", "hash").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > max_documents).select("source", "hash")
 
 

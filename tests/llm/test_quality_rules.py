@@ -72,3 +72,10 @@ def test_joined_and_broadcast_lines_agree(spark, documents, monkeypatch, limit):
 def test_main_path_is_native(spark, documents):
     plan = Q.assess(documents((1, "a")))._jdf.queryExecution().executedPlan().toString()
     assert not any(word in plan for word in ("Python", "Pandas", "MapInArrow"))
+
+
+def test_documents_of_one_template_are_distinct(spark, documents):
+    stock = "\n".join(" ".join(f"stock{k}_{i}" for i in range(15)) for k in range(9))
+    rows = [(d, f"{stock}\neight words of document {d} that come here", "s") for d in range(100)]
+    out = Q.assess(documents(*rows)).collect()
+    assert {(r["n_line_words"], r["kept"]) for r in out} == {(135, False)}
