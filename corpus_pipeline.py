@@ -15,7 +15,7 @@ from rillstone.runtime import ensure_checkpoint_dir, table
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules reject go."""
+    """Documents that the quality rules reject go, and lines above the limit from the others."""
     return quality_rules.filter_documents(docs)
 
 

@@ -5,14 +5,16 @@ arrays. Lines are hashed after normalising (lower case, one space between
 words), and a line is boilerplate where more than ``max_documents`` distinct
 documents of its host (column ``source``) hold it. Documents that hold the same
 set of lines are copies and count as one; documents that differ in any line are
-distinct. Lines above the limit are removed, and a document that keeps less than ``min_share``
+distinct. Lines above the limit are removed (`filter_documents` returns the text
+without them), and a document that keeps less than ``min_share``
 of its words and fewer than ``min_words``, one put together from stock lines, is
 rejected.
 
 Edge cases: a null or empty text has no words, fails the base rule and isn't
 kept. A null host is a host of its own. Repeated rows each get the same result
 and count as one document. An empty table gives an empty result. Columns beyond
-``doc_id, text, source`` are ignored by `assess` and carried by `filter_documents`.
+``doc_id, text, source`` are ignored by `assess` and carried by `filter_documents`,
+but for ``n_chars``, which follows a text that lost lines.
 """
 
 from __future__ import annotations
@@ -31,7 +33,7 @@ MIN_SHARE = 0.3
 MIN_WORDS = 50
 #: Frequent lines of at most this number, 16 MB with their hosts, are broadcast; more are joined by shuffle.
 BROADCAST_LINES = 200_000
-#: Keys of rejected rows of at most this number, 16 MB, are broadcast.
+#: Keys of rejected and changed rows, with the lines that these lose, of at most this number, 16 MB, are broadcast.
 BROADCAST_ROWS = 1_000_000
 
 
@@ -40,6 +42,14 @@ def line_hash(line: Column) -> Column:
     return F.conv(F.substring(F.md5(line.cast("binary")), 1, 15), 16, 10).cast("long")
 
 
+def _normalised(line: Column) -> Column:
+    return F.trim(F.regexp_replace(F.lower(line), SPACE, " "))
+
+
+def _has_words(line: Column) -> Column:
+    return line.rlike(r"[^\x20\x09-\x0D]")
+
+
 def _neighbours(a: Column) -> Column:
     """Pairs of neighbours of an array with two or more elements."""
     n = F.size(a)
@@ -59,14 +69,14 @@ def statistics(docs: DataFrame) -> DataFrame:
         F.filter(F.split(text, SPACE), lambda w: w != "").alias("w"),
         F.length(F.regexp_replace(text, r"[^#*$%&|<>]+", "")).cast("long").alias("n_symbols"),
         F.length(F.regexp_replace(text, SPACE, "")).cast("long").alias("word_chars"),
-        F.filter(F.split(text, "\n", -1), lambda x: x.rlike(r"[^\x20\x09-\x0D]")).alias("l"),
+        F.filter(F.split(text, "\n", -1), _has_words).alias("l"),
     )
     hashed = base.select(
         "doc_id", "source", "row", "n_symbols", "word_chars",
         F.size("w").cast("long").alias("n_words"),
         (F.size("l") - F.size(F.array_distinct("l"))).cast("long").alias("n_dup_lines"),
         F.transform("w", lambda w: F.xxhash64(w)).alias("h"),
-        F.transform("l", lambda x: F.trim(F.regexp_replace(F.lower(x), SPACE, " "))).alias("l"),
+        F.transform("l", _normalised).alias("l"),
     )
     n = F.size("h")
     pairs = F.zip_with("h", F.slice("h", F.lit(2), F.greatest(n - 1, F.lit(0))), lambda a, b: F.xxhash64(a, b))
@@ -98,8 +108,8 @@ def frequent_lines(stats: DataFrame, max_documents: int = MAX_DOCUMENTS) -> Data
     return told.distinct().groupBy("source", "hash").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > max_documents).select("source", "hash")
 
 
-def assess(docs: DataFrame, max_documents: int = MAX_DOCUMENTS, min_share: float = MIN_SHARE, min_words: int = MIN_WORDS) -> DataFrame:
-    """Per row of `docs`: doc_id, the base figures, n_line_words (words in removed lines), base_failed and kept."""
+def _judged(docs: DataFrame, max_documents: int, min_share: float, min_words: int) -> DataFrame:
+    """Per row of `docs`: what `assess` gives, and `gone`, the hashes of removed lines, null where there are none."""
     # read anew for the lines and for the figures: Catalyst prunes each reading to what it needs
     stats = statistics(docs)
     frequent = cut(frequent_lines(stats, max_documents)).select(F.col("source").alias("f_source"), F.col("hash").alias("f_hash"))
@@ -108,20 +118,34 @@ def assess(docs: DataFrame, max_documents: int = MAX_DOCUMENTS, min_share: float
     held = stats.select("row", "source", F.posexplode("lines").alias("place", "line")).select("row", "source", "place", "line.hash", "line.words")
     held = held.join(frequent, F.col("source").eqNullSafe(F.col("f_source")) & (F.col("hash") == F.col("f_hash")), "left_semi")
     # repeated rows hold the same places
-    removed = held.select("row", "place", "words").distinct().groupBy("row").agg(F.sum("words").alias("words"))
+    removed = held.select("row", "place", "hash", "words").distinct().groupBy("row").agg(F.sum("words").alias("words"), F.collect_set("hash").alias("gone"))
     left = F.col("n_words") - F.col("n_line_words")
     return (
         stats.join(removed, "row", "left")
         .withColumn("n_line_words", F.coalesce("words", F.lit(0).cast("long")))
         .withColumn("base_failed", (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words")))
         .withColumn("kept", ~F.col("base_failed") & ~((left < min_words) & (left < min_share * F.col("n_words"))))
-        .select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_line_words", "base_failed", "kept", "row")
+        .select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_line_words", "base_failed", "kept", "row", "gone")
     )
 
 
-def filter_documents(docs: DataFrame, **limits) -> DataFrame:
-    """The rows of `docs` that `assess` keeps, with the columns they came with."""
-    rejected = cut(assess(docs, **limits).where(~F.col("kept")).select(F.col("row").alias("__row")).distinct())
-    # few keys go to the texts; many and the texts are shuffled
-    rejected = F.broadcast(rejected) if rejected.count() <= BROADCAST_ROWS else rejected
-    return docs.withColumn("__key", row_key("doc_id", "text", "source")).join(rejected, F.col("__key") == F.col("__row"), "left_anti").drop("__key")
+def assess(docs: DataFrame, max_documents: int = MAX_DOCUMENTS, min_share: float = MIN_SHARE, min_words: int = MIN_WORDS) -> DataFrame:
+    """Per row of `docs`: doc_id, the base figures, n_line_words (words in removed lines), base_failed and kept."""
+    return _judged(docs, max_documents, min_share, min_words).drop("gone")
+
+
+def filter_documents(docs: DataFrame, max_documents: int = MAX_DOCUMENTS, min_share: float = MIN_SHARE, min_words: int = MIN_WORDS) -> DataFrame:
+    """The rows of `docs` that `assess` keeps, without their lines above the limit, with the columns they came with."""
+    judged = _judged(docs, max_documents, min_share, min_words).where(~F.col("kept") | F.col("gone").isNotNull())
+    # a rejected row needs no lines; repeated rows are judged alike
+    told = cut(judged.select(F.col("row").alias("__row"), F.col("kept").alias("__kept"), F.when(F.col("kept"), F.col("gone")).alias("__gone")).dropDuplicates(["__row"]))
+    size = told.agg(F.sum(1 + F.coalesce(F.array_size("__gone"), F.lit(0)))).first()[0] or 0
+    # few keys and lines go to the texts; many and the texts are shuffled
+    told = F.broadcast(told) if size <= BROADCAST_ROWS else told
+    joined = docs.withColumn("__key", row_key("doc_id", "text", "source")).join(told, F.col("__key") == F.col("__row"), "left").where(F.coalesce("__kept", F.lit(True)))
+    stays = F.filter(F.split("text", "\n", -1), lambda x: ~(_has_words(x) & F.array_contains(F.col("__gone"), line_hash(_normalised(x)))))
+    changed = F.col("__gone").isNotNull()
+    out = joined.withColumn("text", F.when(changed, F.array_join(stays, "\n")).otherwise(F.col("text")))
+    if "n_chars" in docs.columns:
+        out = out.withColumn("n_chars", F.when(changed, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
+    return out.select(*docs.columns)

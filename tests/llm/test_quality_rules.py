@@ -79,3 +79,14 @@ def test_documents_of_one_template_are_distinct(spark, documents):
     rows = [(d, f"{stock}\neight words of document {d} that come here", "s") for d in range(100)]
     out = Q.assess(documents(*rows)).collect()
     assert {(r["n_line_words"], r["kept"]) for r in out} == {(135, False)}
+
+
+@pytest.mark.parametrize("most", [0, 1_000_000])
+def test_kept_documents_lose_lines_above_the_limit(spark, documents, monkeypatch, most):
+    monkeypatch.setattr(Q, "BROADCAST_ROWS", most)
+    own = {d: [" ".join(f"w{d}_{k}_{i}" for i in range(30)) for k in range(2)] for d in range(10)}
+    rows = [(d, "\n".join([own[d][0], "All  Rights reserved", "", own[d][1], " all rights\tRESERVED"]), "s") for d in own]
+    rows += [(20, rows[0][1], "other"), rows[3]]
+    out = [(r["doc_id"], r["text"], r["n_chars"]) for r in Q.filter_documents(documents(*rows), max_documents=5).collect()]
+    wanted = {d: "\n".join([own[d][0], "", own[d][1]]) for d in own} | {20: rows[0][1]}
+    assert sorted(out) == sorted((d, wanted[d], len(wanted[d])) for d in [*wanted, 3])
