@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from rillstone.llm.components import components
 from rillstone.llm.signature_tree import Forest, links, signature
 from rillstone.llm.words import SPACED, mix, pieces, scan, windows
-from rillstone.runtime import cut
+from rillstone.runtime import cut, row_key
 
 SHINGLE = 5
 #: Tokens that more classes than this begin with come last in the order, at most MOST_HOT of them.
@@ -108,14 +108,14 @@ def needed(n: np.ndarray) -> np.ndarray:
 
 
 def classes_of(docs: DataFrame) -> DataFrame:
-    """(doc_id, n, class) of each row of `docs`."""
+    """(row, doc_id, n, class) of each row of `docs`, which has a column `row` too."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, buf, offsets in pieces(batches):
             sets = shingle_sets(buf, offsets)
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(sets.sizes), pa.array(sets.name)], ["doc_id", "n", "class"])
+            yield pa.RecordBatch.from_arrays([part.column("row"), part.column("doc_id"), pa.array(sets.sizes), pa.array(sets.name)], ["row", "doc_id", "n", "class"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {dict(docs.dtypes)['doc_id']}, n long, class long")
+    return docs.select("row", "doc_id", "text").mapInArrow(run, f"row long, doc_id {dict(docs.dtypes)['doc_id']}, n long, class long")
 
 
 def _fresh(sets: Sets, seen: set[int]) -> np.ndarray:
@@ -349,27 +349,44 @@ def confirmed_links(docs: DataFrame, named: DataFrame) -> DataFrame:
     return link_groups(kept, _text_links, CLUSTER_TOKENS)
 
 
-def assess(docs: DataFrame) -> DataFrame:
-    """Per row of `docs`: doc_id, n_shingles, component_id (the smallest doc_id that links reach)."""
-    docs = docs.select("doc_id", "text")
+def _repeats(docs: DataFrame) -> bool:
+    """Whether ids don't tell the rows of `docs` apart."""
+    return not docs.groupBy("doc_id").count().where("count > 1 or doc_id is null").isEmpty()
+
+
+def _judged(docs: DataFrame) -> DataFrame:
+    """Per row of `docs` (row, doc_id, text): row, doc_id, class, what `assess` gives, and root, null for an empty set."""
     named = cut(classes_of(docs))
     owner = F.coalesce(F.col("doc_id").cast("long"), F.lit(_LARGEST))
     least = named.where("n > 0").groupBy("class").agg(F.min(owner).alias("owner"))
     roots = components(confirmed_links(docs, named.where("n > 0")))
     least = least.join(roots, F.col("class") == F.col("node"), "left").withColumn("root", F.coalesce("root", "class"))
     smallest = least.groupBy(F.col("root").alias("r")).agg(F.min("owner").alias("component_id"))
-    component = least.join(smallest, F.col("root") == F.col("r")).select(F.col("class").alias("c"), "component_id")
+    component = least.join(smallest, F.col("root") == F.col("r")).select(F.col("class").alias("c"), "root", "component_id")
     out = named.join(component, (F.col("class") == F.col("c")) & (F.col("n") > 0), "left")
     own = F.when(F.col("n") > 0, F.nullif("component_id", F.lit(_LARGEST))).otherwise(F.col("doc_id").cast("long"))
-    return out.select("doc_id", F.col("n").alias("n_shingles"), own.alias("component_id"))
+    return out.select("row", "doc_id", "class", "root", F.col("n").alias("n_shingles"), own.alias("component_id"))
+
+
+def assess(docs: DataFrame) -> DataFrame:
+    """Per row of `docs`: doc_id, n_shingles, component_id (the smallest doc_id that links reach)."""
+    return _judged(docs.select(F.lit(0).cast("long").alias("row"), "doc_id", "text")).select("doc_id", "n_shingles", "component_id")
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """The rows of `docs` that are the smallest of their component; of repeated ids one row each."""
-    judged = assess(docs)
-    if not docs.groupBy("doc_id").count().where("count > 1 or doc_id is null").isEmpty():
-        stays = judged.where("doc_id <=> component_id").select(F.col("doc_id").alias("__stays")).distinct()
-        return docs.join(stays, F.col("doc_id").eqNullSafe(F.col("__stays")), "left_semi").dropDuplicates(["doc_id"])
-    gone = cut(judged.where("doc_id <> component_id").select(F.col("doc_id").alias("__gone")))
+    """The rows of `docs` that are the smallest of their component, one of each, and those linked with nothing.
+
+    The smallest has the smallest id, null last. Where ids repeat or are null,
+    ties go to the least class, then the least key of the row; of equal rows one stays.
+    """
+    if _repeats(docs):
+        keyed = docs.withColumn("__key", row_key(*docs.columns))
+        judged = _judged(keyed.select(F.col("__key").alias("row"), "doc_id", "text"))
+        rank = F.struct(F.col("doc_id").isNull(), "doc_id", "class", "row")
+        # an empty set is a component of its own row
+        survivor = judged.groupBy(F.col("root").isNull(), F.coalesce("root", "row")).agg(F.min(rank).alias("least"))
+        stays = cut(survivor.select(F.col("least.row").alias("__stays")))
+        return keyed.join(stays, F.col("__key") == F.col("__stays"), "left_semi").dropDuplicates(["__key"]).drop("__key")
+    gone = cut(assess(docs).where("doc_id <> component_id").select(F.col("doc_id").alias("__gone")))
     # few ids go to the texts; many and the texts are shuffled
     return docs.join(F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone, F.col("doc_id") == F.col("__gone"), "left_anti")

@@ -104,3 +104,15 @@ def test_components_of_a_path_and_a_star(spark):
     out = {r["node"]: r["root"] for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert out == {**{i: 0 for i in range(21)}, **{i: 100 for i in range(100, 130)}}
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_keep_one_tells_rows_of_null_and_repeated_ids_apart(spark, documents):
+    own = {k: " ".join(f"{k}{i}" for i in range(30)) for k in "abcdefg"}
+    near = own["a"] + " more"
+    rows = [(None, own["b"]), (None, own["c"]), (None, near), (1, own["a"]), (7, own["d"]), (7, own["e"]), (7, near)]
+    rows += [(None, own["f"]), (None, own["f"] + " more"), (9, own["g"]), (9, own["g"]), (None, None), (None, ""), (3, "")]
+    out = [(r["doc_id"], r["text"]) for r in J.keep_one(documents(*rows).repartition(3)).collect()]
+    of_f = [t for _, t in out if t and t.startswith("f0")]
+    assert len(of_f) == 1
+    wanted = [(None, own["b"]), (None, own["c"]), (1, own["a"]), (7, own["d"]), (7, own["e"]), (None, of_f[0]), (9, own["g"]), (None, None), (None, ""), (3, "")]
+    assert sorted(map(str, out)) == sorted(map(str, wanted))
