@@ -3,22 +3,29 @@
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Iterator
+from contextlib import contextmanager
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
+_ADAPTIVE = "spark.sql.adaptive.enabled"
+
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """The folder that checkpoints go to.
 
     A cluster names a shared folder in ``spark.checkpoint.dir``. Only where
-    that setting is missing, as in local tests, a temporary folder is used.
+    that setting is missing on a local master, as in tests, a temporary folder
+    is used: a cluster's machines don't share theirs, so there it is an error.
     """
     sc = spark.sparkContext
     current = sc._jsc.sc().getCheckpointDir()
     if current.isDefined():
         return current.get()
     named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
+    if not named and not sc.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="rillstone-checkpoints-"))
     return sc._jsc.sc().getCheckpointDir().get()
 
@@ -32,6 +39,28 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def cut_counted(df: DataFrame) -> tuple[DataFrame, int]:
+    """`cut`, and the number of rows, counted while they are written."""
+    seen = Observation()
+    out = cut(df.observe(seen, F.count(F.lit(1)).alias("rows")))
+    return out, seen.get["rows"]
+
+
+@contextmanager
+def adaptive(spark: SparkSession, on: bool) -> Iterator[None]:
+    """Plans made inside are adaptive, or not.
+
+    Without, rows that were dealt by a key stay known as such when they are
+    written, and a later join or aggregate by that key doesn't move them.
+    """
+    before = spark.conf.get(_ADAPTIVE)
+    spark.conf.set(_ADAPTIVE, str(on).lower())
+    try:
+        yield
+    finally:
+        spark.conf.set(_ADAPTIVE, before)
+
+
 def row_key(*columns: str):
     """A key for rows that may repeat or hold nulls: equal rows get equal keys."""
     return F.xxhash64(*[F.col(c) for c in columns], *[F.col(c).isNull() for c in columns])
