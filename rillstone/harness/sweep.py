@@ -58,12 +58,12 @@ def sweep(spark: SparkSession, text: str | Tree, facts: Mapping[str, DataFrame],
             spark.sparkContext.setJobGroup(group, f"plan {v.name}", interruptOnCancel=True)
             if watch is not None:
                 watch.start()
-            runs = timed(work, 1)
+            runs = timed(work, 1, spark)
             if limit is not None and (late.is_set() or time.perf_counter() - began > limit):
                 raise TimeoutError
             if watch is not None:
                 watch.cancel()
-            runs += timed(work, times - 1)
+            runs += timed(work, times - 1, spark)
         except Exception as e:  # a variant that fails is a row of the result
             beyond = late.is_set() or isinstance(e, TimeoutError)
             out.append(Outcome(v, None, None, 0, None, "TIMEOUT" if beyond else f"FAIL: {type(e).__name__}"))
@@ -105,11 +105,6 @@ class Summary:
     speedup: float | None
     percentile: float | None
 
-    def __str__(self) -> str:
-        show = lambda x: "-" if x is None else f"{x:.4f}"
-        rank = "-" if self.percentile is None else f"{self.percentile:.0f}th pct"
-        return f"| {self.timed} | {self.timeouts} | {show(self.default)} | {self.fastest[0]} {show(self.fastest[1])} | {self.slowest[0]} {show(self.slowest[1])} | {show(self.median)} | {show(self.speedup)} | {rank} |"
-
 
 def summarise(path: str) -> Summary | None:
     """The summary of a sweep's file; nothing where no variant was timed."""
@@ -136,6 +131,15 @@ def summarise(path: str) -> Summary | None:
 
 
 def report(folder: str) -> str:
-    """A table of all sweeps in a folder, a row for each file."""
-    head = "| Sweep | #Var | T/O | Default | Fastest | Slowest | Median | Best speedup | Default rank |\n|---|---:|---:|---:|---|---|---:|---:|---|\n"
-    return head + "".join(f"| {p.stem} {s}\n" for p in sorted(Path(folder).glob("*.csv")) if (s := summarise(str(p))) is not None)
+    """A paragraph for each sweep's file in a folder that timed a variant."""
+    told = []
+    for path in sorted(Path(folder).glob("*.csv")):
+        s = summarise(str(path))
+        if s is None:
+            continue
+        lines = [f"{path.stem}: {s.timed} plans timed, {s.timeouts} beyond the limit, {s.failed} failed, {s.mismatches} with other sizes"]
+        lines.append(f"  from {s.fastest[1]:.3f} s ({s.fastest[0]}) over {s.median:.3f} s to {s.slowest[1]:.3f} s ({s.slowest[0]})")
+        if s.default is not None:
+            lines.append(f"  as written {s.default:.3f} s: {s.speedup:.2f} times the fastest, {s.percentile:.0f} % of the plans are faster")
+        told.append("\n".join(lines))
+    return "\n\n".join(told)

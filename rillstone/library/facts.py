@@ -19,9 +19,9 @@ TRADE = """select cast(s_nationkey as bigint) as x, cast(c_nationkey as bigint)
   group by s_nationkey, c_nationkey"""
 
 
-def supplier_tree(fan: int, where: str = "true") -> str:
+def supplier_tree(fan: int) -> str:
     """Suppliers, and those whose key is theirs divided by `fan`."""
-    return f"select cast(s_suppkey as bigint) as x, cast(floor(s_suppkey / {fan}) as bigint) as y from supplier where s_suppkey > 0 and {where}"
+    return f"select cast(s_suppkey as bigint) as x, cast(floor(s_suppkey / {fan}) as bigint) as y from supplier where s_suppkey > 0"
 
 
 SUPPLIER_CELL = "select cast(s_suppkey as bigint) as x, cast(100000 + s_nationkey as bigint) as y from supplier"

@@ -1,3 +1,5 @@
+import time
+
 import pytest
 
 from rillstone.harness import measure, runs, sweep, verdicts
@@ -63,7 +65,7 @@ def test_sweep_and_summary(spark, tmp_path):
     sweep.write_csv(outcomes, str(tmp_path / "t.csv"))
     summary = sweep.summarise(str(tmp_path / "t.csv"))
     assert summary.timed == 3 and summary.default is not None and summary.fastest[1] <= summary.median <= summary.slowest[1]
-    assert "| t |" in sweep.report(str(tmp_path))
+    assert sweep.report(str(tmp_path)).startswith("t: 3 plans timed, 0 beyond the limit")
     late = sweep.sweep(spark, TRIANGLE, {"A": arcs}, limit=0.0)
     assert {o.verdict for o in late} == {"TIMEOUT"}
 
@@ -178,3 +180,16 @@ def test_charts_hold_every_value():
     strip = charts.strip({"default": 1.0, "a": 0.5, "b": 2.0})
     assert tree.fromstring(strip) is not None and strip.count("<circle") == 3
     assert "nothing measured" in charts.bars({}, "ours", "t") and "nothing measured" in charts.strip({})
+
+
+def test_peak_memory_is_of_the_engine_and_its_workers(spark):
+    def hold(batches):
+        held = b"x" * 400_000_000
+        for batch in batches:
+            time.sleep(0.3)
+            yield batch
+        del held
+
+    quiet = measure.timed(lambda: spark.range(10).count(), 1, spark)[0].peak_kib
+    loud = measure.timed(lambda: spark.range(0, 10, 1, 1).mapInArrow(hold, "id long").count(), 1, spark)[0].peak_kib
+    assert loud > quiet + 300_000
