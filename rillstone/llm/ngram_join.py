@@ -19,8 +19,11 @@ isn't looked at.
 Edge cases: a document with no words or no text has an empty set and is linked
 with nothing; one of fewer than five words has its whole sequence as its one
 shingle. Repeated rows have equal sets. A null doc_id is the largest of all; a
-component of such rows alone has a null id. An empty table gives an empty
-result. Extra columns are carried by `keep_one` and ignored by `assess`.
+component of such rows alone has a null id. Of equal smallest ids `keep_one`
+keeps one row. An empty table gives an empty result. A very long text is a piece
+of its own: its set takes some 30 times its bytes of a task's memory for a
+moment. Extra columns are carried by `keep_one`, whatever their names, and
+ignored by `assess`.
 """
 
 from __future__ import annotations
@@ -30,12 +33,14 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from rillstone.llm.columns import quoted, unused
 from rillstone.llm.components import components
 from rillstone.llm.signature_tree import Forest, links, signature
-from rillstone.llm.words import SPACED, mix, pieces, scan, windows
+from rillstone.llm.words import SPACED, mix, pieces, sample_once, scan, windows
 from rillstone.runtime import cut, row_key
 
 SHINGLE = 5
@@ -148,21 +153,25 @@ def _prefixes(sets: Sets, fresh: np.ndarray, hot: np.ndarray) -> tuple[np.ndarra
 def hot_tokens(docs: DataFrame, hot: int = HOT) -> dict[int, int]:
     """Tokens that many classes begin with, and the least such class: at most MOST_HOT, the most frequent.
 
-    Tasks count, over all rows, and forget what is rare among many tokens; so a
-    token near the bound may be missed, which costs time but no link.
+    Tasks count over all rows. Of the tokens that a task met once it gives a
+    sixteenth, counted sixteen times, another one in each task: a token that
+    many tasks hold once is found too. A token near the bound may be missed or
+    taken for hot, which costs time but no link.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
 
-        def merge(least_count: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        salt = TaskContext.get().partitionId()
+
+        def merge() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
             tokens, counts, least = (np.concatenate(c) for c in zip(*held, strict=True))
             order = np.argsort(tokens, kind="stable")
             tokens, counts, least = tokens[order], counts[order], least[order]
             at = np.flatnonzero(np.append(True, tokens[1:] != tokens[:-1])) if len(tokens) else np.zeros(0, np.int64)
             counts, least, tokens = (np.add.reduceat(counts, at), np.minimum.reduceat(least, at), tokens[at]) if len(at) else (counts, least, tokens)
-            stays = counts >= least_count
+            counts, stays = sample_once(tokens, counts, salt)
             return tokens[stays], counts[stays], least[stays]
 
         for _, buf, offsets in pieces(batches):
@@ -170,9 +179,9 @@ def hot_tokens(docs: DataFrame, hot: int = HOT) -> dict[int, int]:
             tokens, doc, _ = _prefixes(sets, _fresh(sets, seen), np.zeros(0, np.uint64))
             held.append((tokens, np.ones(len(tokens), np.int64), sets.name[doc]))
             if sum(len(t) for t, _, _ in held) > 1_500_000:
-                held = [merge(2)]
+                held = [merge()]
         if held:
-            tokens, counts, least = merge(2)
+            tokens, counts, least = merge()
             for low in range(0, len(tokens), 100_000):
                 part = slice(low, low + 100_000)
                 yield pa.RecordBatch.from_arrays([pa.array(tokens[part].view(np.int64)), pa.array(counts[part]), pa.array(least[part])], ["token", "n", "least"])
@@ -333,20 +342,30 @@ def confirmed_links(docs: DataFrame, named: DataFrame) -> DataFrame:
     pairs = grouped(docs, hot_tokens(docs))
     bitmaps = pairs.join(signatures(docs), "class")
     clusters = components(link_groups(bitmaps, _bitmap_links, GROUP_TOKENS))
-    owner = F.coalesce(F.col("doc_id").cast("long"), F.lit(_LARGEST))
-    least = named.groupBy("class", "n").agg(F.min(owner).alias("owner"))
-    wanted = clusters.join(least, F.col("node") == F.col("class")).select(F.col("root").alias("group"), "class", "n", "owner")
-    texts = docs.select(owner.alias("text_owner"), F.col("text").cast("binary").alias("payload")).join(wanted, F.col("text_owner") == F.col("owner")).drop("text_owner", "owner")
+    if _repeats(docs):
+        # ids don't tell which row holds a class: each task gives one text of each of its classes
+        wanted = clusters.select(F.col("root").alias("group"), F.col("node").alias("wanted"))
+        texts = _texts_of_classes(docs).join(wanted, F.col("class") == F.col("wanted")).select("group", "class", "n", "payload").dropDuplicates(["group", "class"])
+    else:
+        least = named.groupBy("class", "n").agg(F.min(F.col("doc_id").cast("long")).alias("owner"))
+        wanted = clusters.join(least, F.col("node") == F.col("class")).select(F.col("root").alias("group"), "class", "n", "owner")
+        held = docs.select(F.col("doc_id").cast("long").alias("text_owner"), F.col("text").cast("binary").alias("payload"))
+        texts = held.join(wanted, F.col("text_owner") == F.col("owner")).select("group", "class", "n", "payload")
+    return link_groups(texts, _text_links, CLUSTER_TOKENS)
+
+
+def _texts_of_classes(docs: DataFrame) -> DataFrame:
+    """(class, n, payload): the text of each class; a class may come from several tasks."""
 
-    def same(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        # rows of one doc_id may differ: the text that makes the class counts
-        for part, buf, offsets in pieces(batches, "payload"):
-            yield part.filter(pa.array(shingle_sets(buf, offsets).name == part.column("class").to_numpy()))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
+        for part, buf, offsets in pieces(batches):
+            sets = shingle_sets(buf, offsets)
+            fresh = pa.array(_fresh(sets, seen))
+            texts = part.column("text").cast(pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(sets.name), pa.array(sets.sizes), texts], ["class", "n", "payload"]).filter(fresh)
 
-    kept = texts.select("group", "class", "n", "payload")
-    if not named.groupBy("doc_id").count().where("count > 1 or doc_id is null").isEmpty():
-        kept = kept.mapInArrow(same, kept.schema).dropDuplicates(["group", "class"])
-    return link_groups(kept, _text_links, CLUSTER_TOKENS)
+    return docs.select("text").mapInArrow(run, "class long, n long, payload binary")
 
 
 def _repeats(docs: DataFrame) -> bool:
@@ -379,14 +398,15 @@ def keep_one(docs: DataFrame) -> DataFrame:
     The smallest has the smallest id, null last. Where ids repeat or are null,
     ties go to the least class, then the least key of the row; of equal rows one stays.
     """
+    key, other = unused(docs, "key", "other")
     if _repeats(docs):
-        keyed = docs.withColumn("__key", row_key(*docs.columns))
-        judged = _judged(keyed.select(F.col("__key").alias("row"), "doc_id", "text"))
+        keyed = docs.withColumn(key, row_key(*map(quoted, docs.columns)))
+        judged = _judged(keyed.select(F.col(key).alias("row"), "doc_id", "text"))
         rank = F.struct(F.col("doc_id").isNull(), "doc_id", "class", "row")
         # an empty set is a component of its own row
         survivor = judged.groupBy(F.col("root").isNull(), F.coalesce("root", "row")).agg(F.min(rank).alias("least"))
-        stays = cut(survivor.select(F.col("least.row").alias("__stays")))
-        return keyed.join(stays, F.col("__key") == F.col("__stays"), "left_semi").dropDuplicates(["__key"]).drop("__key")
-    gone = cut(assess(docs).where("doc_id <> component_id").select(F.col("doc_id").alias("__gone")))
+        stays = cut(survivor.select(F.col("least.row").alias(other)))
+        return keyed.join(stays, F.col(key) == F.col(other), "left_semi").dropDuplicates([key]).drop(key)
+    gone = cut(assess(docs).where("doc_id <> component_id").select(F.col("doc_id").alias(other)))
     # few ids go to the texts; many and the texts are shuffled
-    return docs.join(F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone, F.col("doc_id") == F.col("__gone"), "left_anti")
+    return docs.join(F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone, F.col("doc_id") == F.col(other), "left_anti")

@@ -7,7 +7,6 @@ held-out figures.
 
 from __future__ import annotations
 
-from rillstone.llm.quality_rules import MAX_DOCUMENTS, MIN_SHARE, MIN_WORDS
 from rillstone.llm.url_filters import MIN_CONFIDENCE, MIN_PAGES, MIN_SUPPORT, RULES
 
 WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
@@ -82,19 +81,21 @@ f as (select s, min(page_id) as f from p where n >= 100 group by s)
 select page_id, cast(n as bigint) as payload_bytes, s as payload_digest, case when n >= 100 and page_id <> f then 'revisit' else 'response' end as record_type,
 case when n >= 100 and page_id <> f then f end as refers_to from p left join f using (s)"""
 
+# Written from the rule as it is dealt, with its limits as numbers: a line of more than 50 distinct documents of a host
+# goes; documents with one set of lines are one; who keeps fewer than 50 words or 30 % goes.
 OP10 = rf"""
 with d as (select doc_id, source, coalesce(text, '') as t, {WORDS} as w, list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) as l from documents),
 win as (select doc_id, i, array_to_string(w[i:i + 2], ' ') as k from (select doc_id, w, unnest(range(1, len(w) - 1)) as i from d where len(w) >= 3)),
 rep as (select doc_id, count(distinct i + j) as r from win join (select doc_id, k from win group by all having count(*) > 1) using (doc_id, k), (select unnest(range(0, 3)) as j) group by doc_id),
 lines as (select doc_id, source, trim(regexp_replace(lower(x), '[\x20\x09-\x0D]+', ' ', 'g')) as x from (select doc_id, source, unnest(l) as x from d)),
-who as (select doc_id, list_sort(list(distinct cast('0x' || substr(md5(x), 1, 15) as bigint)))[1:2] as who from lines group by doc_id),
-often as (select source, x from lines join who using (doc_id) group by source, x having count(distinct who) > {MAX_DOCUMENTS}),
+sets as (select doc_id, string_agg(x, chr(10) order by x) as lines_held from (select distinct doc_id, x from lines) group by doc_id),
+often as (select source, x from lines join sets using (doc_id) group by source, x having count(distinct lines_held) > 50),
 gone as (select doc_id, sum(len(string_split(x, ' '))) as g from lines where exists (select 1 from often o where o.source is not distinct from lines.source and o.x = lines.x) group by doc_id),
 s as (select d.doc_id, cast(len(w) as bigint) as n_words, cast(coalesce(list_sum(list_transform(w, lambda x: length(x))), 0) as bigint) as word_chars,
   cast(length(regexp_replace(t, '[^#*$%&|<>]+', '', 'g')) as bigint) as n_symbols, cast(len(l) - len(list_distinct(l)) as bigint) as n_dup_lines,
-  cast(coalesce(r, 0) as bigint) as n_repeat_words, cast(coalesce(g, 0) as bigint) as n_line_words from d left join rep using (doc_id) left join gone using (doc_id))
-select *, n_words < 50 or 100 * n_repeat_words > 50 * n_words as base_failed,
-not (n_words < 50 or 100 * n_repeat_words > 50 * n_words) and not (n_words - n_line_words < {MIN_WORDS} and n_words - n_line_words < {MIN_SHARE} * n_words) as kept from s"""
+  cast(coalesce(r, 0) as bigint) as n_repeat_words, cast(coalesce(g, 0) as bigint) as n_line_words from d left join rep using (doc_id) left join gone using (doc_id)),
+b as (select *, n_words < 50 or 100 * n_repeat_words > 50 * n_words as base_failed from s)
+select *, not base_failed and n_words - n_line_words >= 50 and n_words - n_line_words >= 0.3 * n_words as kept from b"""
 
 ORACLE = {
     "op1_substring_dedup": OP1,

@@ -4,17 +4,20 @@ Only DataFrame functions run on the main path. Statistics are per row, on
 arrays. Lines are hashed after normalising (lower case, one space between
 words), and a line is boilerplate where more than ``max_documents`` distinct
 documents of its host (column ``source``) hold it. Documents that hold the same
-set of lines are copies and count as one; documents that differ in any line are
-distinct. Lines above the limit are removed (`filter_documents` returns the text
-without them), and a document that keeps less than ``min_share``
-of its words and fewer than ``min_words``, one put together from stock lines, is
-rejected.
+set of lines are one document; documents that differ in any line, near copies
+too, are distinct. Lines above the limit are removed (`filter_documents` returns
+the text without them). A document is depleted, and rejected, when what it keeps
+is fewer than ``min_words`` words, the least that the base rule asks of a whole
+text, or less than ``min_share`` of its words, one put together from stock lines.
 
 Edge cases: a null or empty text has no words, fails the base rule and isn't
-kept. A null host is a host of its own. Repeated rows each get the same result
-and count as one document. An empty table gives an empty result. Columns beyond
-``doc_id, text, source`` are ignored by `assess` and carried by `filter_documents`,
-but for ``n_chars``, which follows a text that lost lines.
+kept. A null host is a host of its own, a null doc_id an id like any other.
+Repeated rows each get the same result and count as one document. A line at the
+limit isn't above it. An empty table gives an empty result. A text is held whole
+in one row, with arrays of some ten times its size, so one of 50 MB needs a task
+of about a GB. Columns beyond ``doc_id, text, source`` are ignored by `assess`
+and carried by `filter_documents` whatever their names, but for ``n_chars``,
+which follows a text that lost lines.
 """
 
 from __future__ import annotations
@@ -22,6 +25,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from rillstone.llm.columns import columns, unused
 from rillstone.runtime import cut, row_key
 
 SPACE = r"[\x20\x09-\x0D]+"
@@ -29,7 +33,7 @@ SPACE = r"[\x20\x09-\x0D]+"
 MAX_DOCUMENTS = 50
 #: A document is depleted when it keeps less than this share of its words ...
 MIN_SHARE = 0.3
-#: ... and fewer words than this.
+#: ... or fewer words than this, the base rule's least number.
 MIN_WORDS = 50
 #: Frequent lines of at most this number, 16 MB with their hosts, are broadcast; more are joined by shuffle.
 BROADCAST_LINES = 200_000
@@ -115,16 +119,17 @@ def _judged(docs: DataFrame, max_documents: int, min_share: float, min_words: in
     frequent = cut(frequent_lines(stats, max_documents)).select(F.col("source").alias("f_source"), F.col("hash").alias("f_hash"))
     if frequent.count() <= BROADCAST_LINES:
         frequent = F.broadcast(frequent)
-    held = stats.select("row", "source", F.posexplode("lines").alias("place", "line")).select("row", "source", "place", "line.hash", "line.words")
+    held = stats.select("doc_id", "row", "source", F.posexplode("lines").alias("place", "line")).select("doc_id", "row", "source", "place", "line.hash", "line.words")
     held = held.join(frequent, F.col("source").eqNullSafe(F.col("f_source")) & (F.col("hash") == F.col("f_hash")), "left_semi")
-    # repeated rows hold the same places
-    removed = held.select("row", "place", "hash", "words").distinct().groupBy("row").agg(F.sum("words").alias("words"), F.collect_set("hash").alias("gone"))
+    # repeated rows hold the same places; a row's hash counts within its id, so no two documents are ever taken for one
+    once = held.select("doc_id", "row", "place", "hash", "words").distinct()
+    removed = once.groupBy("doc_id", "row").agg(F.sum("words").alias("words"), F.collect_set("hash").alias("gone")).withColumnsRenamed({"doc_id": "r_doc_id", "row": "r_row"})
     left = F.col("n_words") - F.col("n_line_words")
     return (
-        stats.join(removed, "row", "left")
+        stats.join(removed, (F.col("row") == F.col("r_row")) & F.col("doc_id").eqNullSafe(F.col("r_doc_id")), "left")
         .withColumn("n_line_words", F.coalesce("words", F.lit(0).cast("long")))
         .withColumn("base_failed", (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words")))
-        .withColumn("kept", ~F.col("base_failed") & ~((left < min_words) & (left < min_share * F.col("n_words"))))
+        .withColumn("kept", ~F.col("base_failed") & ~((left < min_words) | (left < min_share * F.col("n_words"))))
         .select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_line_words", "base_failed", "kept", "row", "gone")
     )
 
@@ -137,15 +142,18 @@ def assess(docs: DataFrame, max_documents: int = MAX_DOCUMENTS, min_share: float
 def filter_documents(docs: DataFrame, max_documents: int = MAX_DOCUMENTS, min_share: float = MIN_SHARE, min_words: int = MIN_WORDS) -> DataFrame:
     """The rows of `docs` that `assess` keeps, without their lines above the limit, with the columns they came with."""
     judged = _judged(docs, max_documents, min_share, min_words).where(~F.col("kept") | F.col("gone").isNotNull())
+    key, row, ident, kept, gone = unused(docs, "key", "row", "ident", "kept", "gone")
     # a rejected row needs no lines; repeated rows are judged alike
-    told = cut(judged.select(F.col("row").alias("__row"), F.col("kept").alias("__kept"), F.when(F.col("kept"), F.col("gone")).alias("__gone")).dropDuplicates(["__row"]))
-    size = told.agg(F.sum(1 + F.coalesce(F.array_size("__gone"), F.lit(0)))).first()[0] or 0
+    told = judged.select(F.col("row").alias(row), F.col("doc_id").alias(ident), F.col("kept").alias(kept), F.when(F.col("kept"), F.col("gone")).alias(gone))
+    told = cut(told.dropDuplicates([row, ident]))
+    size = told.agg(F.sum(1 + F.coalesce(F.array_size(gone), F.lit(0)))).first()[0] or 0
     # few keys and lines go to the texts; many and the texts are shuffled
     told = F.broadcast(told) if size <= BROADCAST_ROWS else told
-    joined = docs.withColumn("__key", row_key("doc_id", "text", "source")).join(told, F.col("__key") == F.col("__row"), "left").where(F.coalesce("__kept", F.lit(True)))
-    stays = F.filter(F.split("text", "\n", -1), lambda x: ~(_has_words(x) & F.array_contains(F.col("__gone"), line_hash(_normalised(x)))))
-    changed = F.col("__gone").isNotNull()
+    same = (F.col(key) == F.col(row)) & F.col("doc_id").eqNullSafe(F.col(ident))
+    joined = docs.withColumn(key, row_key("doc_id", "text", "source")).join(told, same, "left").where(F.coalesce(F.col(kept), F.lit(True)))
+    stays = F.filter(F.split("text", "\n", -1), lambda x: ~(_has_words(x) & F.array_contains(F.col(gone), line_hash(_normalised(x)))))
+    changed = F.col(gone).isNotNull()
     out = joined.withColumn("text", F.when(changed, F.array_join(stays, "\n")).otherwise(F.col("text")))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.when(changed, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return out.select(*docs.columns)
+    return out.select(*columns(docs))

@@ -130,6 +130,13 @@ def windows(h: np.ndarray, k: int) -> np.ndarray:
     return mix(out)
 
 
+def sample_once(values: np.ndarray, counts: np.ndarray, salt: int) -> tuple[np.ndarray, np.ndarray]:
+    """Counts, and which values stay: of those counted once a sixteenth, counted sixteen times, another one for each salt."""
+    once = counts == 1
+    drawn = mix(values.view(np.uint64) ^ np.uint64(0x9E3779B97F4A7C15 * (salt + 1) & ((1 << 64) - 1))) & np.uint64(15) == 0
+    return np.where(once, 16, counts), ~once | drawn
+
+
 def buffers(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The bytes of a string or binary array, one text after another, and the texts' offsets."""
     if isinstance(texts, pa.ChunkedArray):

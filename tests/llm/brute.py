@@ -3,6 +3,8 @@
 import collections
 import re
 
+from pyspark.sql import functions as F
+
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
@@ -90,3 +92,13 @@ def quality(text):
     covered = {i + j for i in range(len(w) - 2) if count[tuple(w[i : i + 3])] > 1 for j in range(3)}
     symbols = sum(c in "#*$%&|<>" for c in text)
     return len(w), sum(map(len, w)), symbols, repeated, len(covered), len(w) < 50 or 100 * len(covered) > 50 * len(w)
+
+
+def with_extra_columns(frame, names):
+    """`frame` with a column of each name, whose cells tell the name and the row's id."""
+    cells = [F.concat(F.lit(f"{n}/"), F.coalesce(F.col("doc_id").cast("string"), F.lit("-"))).alias(n) for n in names]
+    return frame.select("*", *cells)
+
+
+def extra_cells(row, names):
+    return (row["doc_id"], *(row[n] for n in names))

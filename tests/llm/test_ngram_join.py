@@ -99,7 +99,9 @@ def test_folded_signatures_are_of_the_same_set():
     assert np.array_equal(np.unpackbits(fold(signature(tokens), 2).view(np.uint8), bitorder="little").astype(bool), bits)
 
 
-def test_components_of_a_path_and_a_star(spark):
+@pytest.mark.parametrize("hot", [5, 100_000])
+def test_components_of_a_path_and_a_star(spark, monkeypatch, hot):
+    monkeypatch.setattr("rillstone.llm.components.HOT", hot)
     edges = [(i, i + 1) for i in range(20)] + [(100, i) for i in range(101, 130)] + [(5, 5)]
     out = {r["node"]: r["root"] for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert out == {**{i: 0 for i in range(21)}, **{i: 100 for i in range(100, 130)}}
@@ -116,3 +118,22 @@ def test_keep_one_tells_rows_of_null_and_repeated_ids_apart(spark, documents):
     assert len(of_f) == 1
     wanted = [(None, own["b"]), (None, own["c"]), (1, own["a"]), (7, own["d"]), (7, own["e"]), (None, of_f[0]), (9, own["g"]), (None, None), (None, ""), (3, "")]
     assert sorted(map(str, out)) == sorted(map(str, wanted))
+
+
+def test_keep_one_carries_columns_of_any_name(spark, documents):
+    text = " ".join(f"w{i}" for i in range(30))
+    extra = ["KEY", "other", "row", "class", "root", "component_id", "__gone", "__key", "a.b"]
+    for rows in ([(3, text), (1, text), (4, "alone")], [(3, text), (1, text), (4, "alone"), (4, "lone too"), (None, text)]):
+        frame = brute.with_extra_columns(documents(*rows), extra)
+        out = J.keep_one(frame)
+        got_rows = [brute.extra_cells(r, extra) for r in out.collect()]
+        assert out.columns == frame.columns and sorted(d for d, *_ in got_rows) == [1, *[4] * (len(rows) - 2 - (len(rows) > 3))]
+        assert got_rows == [(d, *(f"{c}/{d}" for c in extra)) for d, *_ in got_rows]
+
+
+def test_values_met_once_are_sampled():
+    values = np.arange(160_000, dtype=np.uint64)
+    counts, stays = J.sample_once(values, np.ones(len(values), np.int64), 3)
+    assert abs(counts[stays].sum() / len(values) - 1) < 0.05
+    assert not np.array_equal(stays, J.sample_once(values, np.ones(len(values), np.int64), 4)[1])
+    assert J.sample_once(values[:3], np.array([2, 5, 1]), 0)[0].tolist() == [2, 5, 16]

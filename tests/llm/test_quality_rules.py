@@ -90,3 +90,34 @@ def test_kept_documents_lose_lines_above_the_limit(spark, documents, monkeypatch
     out = [(r["doc_id"], r["text"], r["n_chars"]) for r in Q.filter_documents(documents(*rows), max_documents=5).collect()]
     wanted = {d: "\n".join([own[d][0], "", own[d][1]]) for d in own} | {20: rows[0][1]}
     assert sorted(out) == sorted((d, wanted[d], len(wanted[d])) for d in [*wanted, 3])
+
+
+def test_documents_of_samples_of_stock_lines_all_go(spark, documents):
+    choose = random.Random(2)
+    stock = [" ".join(f"stock{k}_{i}" for i in range(15)) for k in range(12)]
+    rows = [(d, "\n".join(choose.sample(stock, 6)), "s") for d in range(400)]
+    assert not any(r["kept"] for r in Q.assess(documents(*rows)).collect())
+    assert Q.filter_documents(documents(*rows)).count() == 0
+
+
+def test_a_document_left_with_too_few_words_goes(spark, documents):
+    line = "this line stands in every one of these documents"
+    rows = [(d, f"{line}\n" + " ".join(f"w{d}_{i}" for i in range(45 + d)), "s") for d in range(10)]
+    out = {r["doc_id"]: (r["n_line_words"], r["base_failed"], r["kept"]) for r in Q.assess(documents(*rows), max_documents=5).collect()}
+    assert out == {d: (9, False, d >= 5) for d in range(10)}
+
+
+def test_the_limit_itself_is_not_above_it(spark, documents):
+    rows = [(d, "one line of theirs\n" + " ".join(f"w{d}_{i}" for i in range(60)), "s") for d in range(5)]
+    assert {r["n_line_words"] for r in Q.assess(documents(*rows), max_documents=5).collect()} == {0}
+    assert {r["n_line_words"] for r in Q.assess(documents(*rows), max_documents=4).collect()} == {4}
+
+
+def test_columns_of_any_name_are_carried(spark, documents):
+    rows = [*boiler(12), (100, " ".join(f"w{i}" for i in range(70)), "s")]
+    extra = ["key", "ROW", "ident", "Kept", "gone", "__row", "__key", "lines", "hash", "a.b", "w`x"]
+    frame = brute.with_extra_columns(documents(*rows), extra)
+    out = Q.filter_documents(frame, max_documents=5)
+    assert out.columns == frame.columns
+    kept = [brute.extra_cells(r, extra) for r in out.collect()]
+    assert kept == [(d, *(f"{c}/{d}" for c in extra)) for d, *_ in kept] and 100 in [d for d, *_ in kept]
