@@ -1,28 +1,16 @@
-"""Names of a caller's columns and of an operator's own, kept apart."""
+"""A caller's columns and an operator's own, kept apart."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame
 
+#: Columns of documents that operators read or write; all others are carried.
+READ = ("doc_id", "text", "source", "n_chars")
 
-def quoted(name: str) -> str:
-    """The name as one identifier, whatever characters it holds."""
-    return "`" + name.replace("`", "``") + "`"
 
+def sheltered(docs: DataFrame) -> DataFrame:
+    """`docs` with every column that operators don't read under a name that is no one's, whatever it was called.
 
-def columns(df: DataFrame) -> list[Column]:
-    """All columns of `df`, in order."""
-    return [F.col(quoted(c)) for c in df.columns]
-
-
-def unused(df: DataFrame, *names: str) -> list[str]:
-    """The names, each with underscores before it until no column of `df` is called so in any case."""
-    taken = {c.lower() for c in df.columns}
-    out = []
-    for name in names:
-        while name.lower() in taken:
-            name = f"_{name}"
-        taken.add(name.lower())
-        out.append(name)
-    return out
+    `toDF(*docs.columns)` of a result with the same columns gives the names back.
+    """
+    return docs.toDF(*(c if c in READ else f"carried_{i}" for i, c in enumerate(docs.columns)))

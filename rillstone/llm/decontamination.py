@@ -6,17 +6,22 @@ shift table says, by the hash of the two words that end at a place, how far the
 next possible end of a pattern is; where it says 0, a bucket of the patterns
 with those last words is compared word by word, on their bytes. Documents
 stream through; nothing is shuffled. Patterns go to the executors in blocks of
-at most ``BLOCK_WORDS`` words, one pass over the documents for each block.
+at most ``BLOCK_WORDS`` words, one pass over the documents for each block: where
+there are more blocks than one, each pass's result is written before the next.
 
 Edge cases: null texts have no words and hit nothing; null or empty items have
 no windows; an item with a null id counts under the empty id, and repeated
-items as one. Repeated documents get a result each. With no items nothing is
-contaminated. Columns other than the id and text are carried by `clean`.
+items as one. Repeated documents get a result each, and so do those of a null
+id. With no items nothing is contaminated, and an empty table gives an empty
+result. A very long text is a piece of its own, which takes some 30 times its
+bytes of a task's memory for a moment. Columns other than the id and text are
+carried by `clean`, whatever their names, and ignored by `assess`.
 """
 
 from __future__ import annotations
 
 import hashlib
+import uuid
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -25,7 +30,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from rillstone.llm.columns import sheltered
 from rillstone.llm.words import PLAIN, Words, buffers, pieces, scan
+from rillstone.runtime import cut
 
 WINDOW = 10
 #: Words of benchmark items that one pass holds in memory.
@@ -95,25 +102,43 @@ def searchers(items: list[tuple[str, bytes]], window: int = WINDOW) -> list[WuMa
 
 
 def _blocks(benchmark: DataFrame, block_words: int) -> Iterator[list[tuple[str, bytes]]]:
-    block, held = [], 0
+    block, held, given = [], 0, False
     for row in benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("i"), F.col("text").cast("binary").alias("t")).where("t is not null").toLocalIterator():
         block.append((row["i"], bytes(row["t"])))
         held += len(row["t"]) // 2 + 1
         if held >= block_words:
             yield block
-            block, held = [], 0
-    yield block
+            block, held, given = [], 0, True
+    if block or not given:
+        yield block
+
+
+#: The searchers of the last block that this process was sent, by the block's name.
+_LAST: dict[str, list[WuManber]] = {}
+
+
+def _searchers_of(name: str, block: list[tuple[str, bytes]], window: int) -> list[WuManber]:
+    """Made once in a process, not once in a task."""
+    if name not in _LAST:
+        _LAST.clear()
+        _LAST[name] = searchers(block, window)
+    return _LAST[name]
 
 
 def search(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_words: int = BLOCK_WORDS) -> DataFrame:
     """`docs` with __hits (a bit for each word, set where a pattern covers it), __items and __words."""
     out = docs.withColumns({"__hits": F.lit(None).cast("binary"), "__items": F.array().cast("array<string>"), "__words": F.lit(0).cast("long")})
-    schema = out.schema
+    schema, before_it = out.schema, None
     for block in _blocks(benchmark, block_words):
-        sent = docs.sparkSession.sparkContext.broadcast(block)
-
-        def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            finders = searchers(sent.value, window)
+        if before_it is not None:
+            # the pass before ends here: its patterns leave the executors' memory
+            out = cut(out)
+            before_it.destroy()
+        sent, name = docs.sparkSession.sparkContext.broadcast(block), uuid.uuid4().hex
+        before_it = sent
+
+        def run(batches: Iterator[pa.RecordBatch], sent=sent, name=name) -> Iterator[pa.RecordBatch]:
+            finders = _searchers_of(name, sent.value, window)
             for part, buf, offsets in pieces(batches):
                 words = scan(buf, offsets, PLAIN, lower=True)
                 hit, items = np.zeros(len(words), bool), defaultdict(set)
@@ -132,8 +157,8 @@ def search(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_wo
                     own = np.packbits(hit[low:high])
                     bits.append((own | np.frombuffer(before[doc], np.uint8) if before[doc] else own).tobytes())
                     named[doc] = sorted(items[doc].union(named[doc]))
-                columns = {"__hits": pa.array(bits, pa.binary()), "__items": pa.array(named, pa.list_(pa.string())), "__words": pa.array(words.counts, pa.int64())}
-                yield pa.RecordBatch.from_arrays([columns.get(n, part.column(n)) for n in part.schema.names], part.schema.names)
+                told = {"__hits": pa.array(bits, pa.binary()), "__items": pa.array(named, pa.list_(pa.string())), "__words": pa.array(words.counts, pa.int64())}
+                yield pa.RecordBatch.from_arrays([told.get(n, part.column(n)) for n in part.schema.names], part.schema.names)
 
         out = out.mapInArrow(run, schema)
     return out
@@ -159,4 +184,5 @@ def assess(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataF
 
 def clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """The rows of `docs` that hold no benchmark window."""
-    return search(docs, benchmark, window).where("__hits is null").drop("__hits", "__items", "__words")
+    found = search(sheltered(docs), benchmark, window)
+    return found.where("__hits is null").drop("__hits", "__items", "__words").toDF(*docs.columns)

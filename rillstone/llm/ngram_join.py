@@ -37,7 +37,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rillstone.llm.columns import quoted, unused
+from rillstone.llm.columns import sheltered
 from rillstone.llm.components import components
 from rillstone.llm.signature_tree import Forest, links, signature
 from rillstone.llm.words import SPACED, mix, pieces, sample_once, scan, windows
@@ -398,15 +398,17 @@ def keep_one(docs: DataFrame) -> DataFrame:
     The smallest has the smallest id, null last. Where ids repeat or are null,
     ties go to the least class, then the least key of the row; of equal rows one stays.
     """
-    key, other = unused(docs, "key", "other")
-    if _repeats(docs):
-        keyed = docs.withColumn(key, row_key(*map(quoted, docs.columns)))
-        judged = _judged(keyed.select(F.col(key).alias("row"), "doc_id", "text"))
+    rows = sheltered(docs)
+    if _repeats(rows):
+        keyed = rows.withColumn("key", row_key(*rows.columns))
+        judged = _judged(keyed.select(F.col("key").alias("row"), "doc_id", "text"))
         rank = F.struct(F.col("doc_id").isNull(), "doc_id", "class", "row")
         # an empty set is a component of its own row
         survivor = judged.groupBy(F.col("root").isNull(), F.coalesce("root", "row")).agg(F.min(rank).alias("least"))
-        stays = cut(survivor.select(F.col("least.row").alias(other)))
-        return keyed.join(stays, F.col(key) == F.col(other), "left_semi").dropDuplicates([key]).drop(key)
-    gone = cut(assess(docs).where("doc_id <> component_id").select(F.col("doc_id").alias(other)))
-    # few ids go to the texts; many and the texts are shuffled
-    return docs.join(F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone, F.col("doc_id") == F.col(other), "left_anti")
+        stays = cut(survivor.select(F.col("least.row").alias("stays")))
+        kept = keyed.join(stays, F.col("key") == F.col("stays"), "left_semi").dropDuplicates(["key"]).drop("key")
+    else:
+        gone = cut(assess(rows).where("doc_id <> component_id").select(F.col("doc_id").alias("gone")))
+        # few ids go to the texts; many and the texts are shuffled
+        kept = rows.join(F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone, F.col("doc_id") == F.col("gone"), "left_anti")
+    return kept.toDF(*docs.columns)

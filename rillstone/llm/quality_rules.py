@@ -25,7 +25,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rillstone.llm.columns import columns, unused
+from rillstone.llm.columns import sheltered
 from rillstone.runtime import cut, row_key
 
 SPACE = r"[\x20\x09-\x0D]+"
@@ -141,19 +141,19 @@ def assess(docs: DataFrame, max_documents: int = MAX_DOCUMENTS, min_share: float
 
 def filter_documents(docs: DataFrame, max_documents: int = MAX_DOCUMENTS, min_share: float = MIN_SHARE, min_words: int = MIN_WORDS) -> DataFrame:
     """The rows of `docs` that `assess` keeps, without their lines above the limit, with the columns they came with."""
-    judged = _judged(docs, max_documents, min_share, min_words).where(~F.col("kept") | F.col("gone").isNotNull())
-    key, row, ident, kept, gone = unused(docs, "key", "row", "ident", "kept", "gone")
+    rows = sheltered(docs)
+    judged = _judged(rows, max_documents, min_share, min_words).where(~F.col("kept") | F.col("gone").isNotNull())
     # a rejected row needs no lines; repeated rows are judged alike
-    told = judged.select(F.col("row").alias(row), F.col("doc_id").alias(ident), F.col("kept").alias(kept), F.when(F.col("kept"), F.col("gone")).alias(gone))
-    told = cut(told.dropDuplicates([row, ident]))
-    size = told.agg(F.sum(1 + F.coalesce(F.array_size(gone), F.lit(0)))).first()[0] or 0
+    told = judged.select(F.col("row").alias("told_row"), F.col("doc_id").alias("told_id"), "kept", F.when(F.col("kept"), F.col("gone")).alias("gone"))
+    told = cut(told.dropDuplicates(["told_row", "told_id"]))
+    size = told.agg(F.sum(1 + F.coalesce(F.array_size("gone"), F.lit(0)))).first()[0] or 0
     # few keys and lines go to the texts; many and the texts are shuffled
     told = F.broadcast(told) if size <= BROADCAST_ROWS else told
-    same = (F.col(key) == F.col(row)) & F.col("doc_id").eqNullSafe(F.col(ident))
-    joined = docs.withColumn(key, row_key("doc_id", "text", "source")).join(told, same, "left").where(F.coalesce(F.col(kept), F.lit(True)))
-    stays = F.filter(F.split("text", "\n", -1), lambda x: ~(_has_words(x) & F.array_contains(F.col(gone), line_hash(_normalised(x)))))
-    changed = F.col(gone).isNotNull()
+    same = (F.col("row") == F.col("told_row")) & F.col("doc_id").eqNullSafe(F.col("told_id"))
+    joined = rows.withColumn("row", row_key("doc_id", "text", "source")).join(told, same, "left").where(F.coalesce("kept", F.lit(True)))
+    stays = F.filter(F.split("text", "\n", -1), lambda x: ~(_has_words(x) & F.array_contains(F.col("gone"), line_hash(_normalised(x)))))
+    changed = F.col("gone").isNotNull()
     out = joined.withColumn("text", F.when(changed, F.array_join(stays, "\n")).otherwise(F.col("text")))
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(changed, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return out.select(*columns(docs))
+    if "n_chars" in rows.columns:
+        out = out.withColumn("n_chars", F.when(changed, F.length("text").cast(rows.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
+    return out.select(*rows.columns).toDF(*docs.columns)

@@ -21,8 +21,10 @@ Words are compared by 48 bits of a 64-bit hash, a window thus by 13 of them.
 Edge cases: null and empty texts have no words and lose none; so do documents
 of fewer words than a window. Rows that share a doc_id don't count as earlier
 than each other, and each gets its result. A null doc_id counts as larger than
-all others. An empty table gives an empty result. Extra columns are carried by
-`remove` and ignored by `assess`.
+all others. An empty table gives an empty result. A very long text is a piece of
+its own, which takes some 30 times its bytes of a task's memory for a moment.
+Extra columns are carried by `remove`, whatever their names, and ignored by
+`assess`; `n_chars` follows its text.
 """
 
 from __future__ import annotations
@@ -32,12 +34,14 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from rillstone.llm.columns import sheltered
 from rillstone.llm.fm_index import FMIndex
-from rillstone.llm.words import Words, buffers, mix, pieces, scan, windows
+from rillstone.llm.words import Words, buffers, mix, pieces, sample_once, scan, windows
 from rillstone.runtime import row_key
 
 WINDOW = 13
@@ -82,20 +86,23 @@ def runs(words: Words, h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarra
 def hot_anchors(docs: DataFrame) -> np.ndarray:
     """Anchors of more than HOT segments, at most MOST_HOT, the most frequent: sorted hashes.
 
-    Tasks count, over all rows, and forget what is rare among many anchors; so
-    an anchor near the bound may be missed, which costs time but no result.
+    Tasks count over all rows. Of the anchors that a task met once it gives a
+    sixteenth, counted sixteen times, another one in each task: an anchor that
+    many tasks hold once is found too. An anchor near the bound may be missed
+    or taken for hot, which costs time but no result.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, np.ndarray]] = []
+        salt = TaskContext.get().partitionId()
 
         def merged() -> tuple[np.ndarray, np.ndarray]:
             hashes, counts = (np.concatenate(c) for c in zip(*held, strict=True))
             order = np.argsort(hashes, kind="stable")
             hashes, counts = hashes[order], counts[order]
             at = np.flatnonzero(np.append(True, hashes[1:] != hashes[:-1])) if len(hashes) else np.zeros(0, np.int64)
-            counts = np.add.reduceat(counts, at) if len(at) else counts
-            return hashes[at][counts > 1], counts[counts > 1]
+            counts, stays = sample_once(hashes[at], np.add.reduceat(counts, at) if len(at) else counts, salt)
+            return hashes[at][stays], counts[stays]
 
         for _, buf, offsets in pieces(batches):
             words = scan(buf, offsets)
@@ -408,7 +415,8 @@ def remove(docs: DataFrame) -> DataFrame:
 
     Documents that lose all their words go. `n_chars`, where there, follows.
     """
-    schema = docs.schema
+    rows = sheltered(docs)
+    schema = rows.schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, buf, offsets in pieces(_restored(batches)):
@@ -431,5 +439,6 @@ def remove(docs: DataFrame) -> DataFrame:
             columns = [pa.array(texts, pa.string()) if n == "text" else part.column(n) for n in schema.names]
             yield pa.RecordBatch.from_arrays(columns, schema.names).filter(pa.array(stays, pa.bool_()))
 
-    out = _with_windows(docs).mapInArrow(run, schema)
-    return out.withColumn("n_chars", F.length("text").cast(dict(docs.dtypes)["n_chars"])) if "n_chars" in docs.columns else out
+    out = _with_windows(rows).mapInArrow(run, schema)
+    out = out.withColumn("n_chars", F.length("text").cast(dict(rows.dtypes)["n_chars"])) if "n_chars" in rows.columns else out
+    return out.toDF(*docs.columns)

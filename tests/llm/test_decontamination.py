@@ -66,3 +66,29 @@ def test_shifts_skip_places():
     words = scan(*buffers(pa.array(["x " * 9 + "one two three four five six seven eight nine ten y"])), PLAIN, lower=True)
     assert [(b, i) for _, b, i in finder.search(words, words.hashes())] == [(9, {"a"})]
     assert finder.shift.max() == 9 and int((finder.shift == 0).sum()) == 1 and np.all(finder.shift <= 9)
+
+
+def test_passes_end_before_the_next_begins(spark, documents, monkeypatch):
+    passes = []
+    real = D.cut
+    monkeypatch.setattr(D, "cut", lambda df: passes.append(df._jdf.queryExecution().executedPlan().toString().count("MapInArrow")) or real(df))
+    rows = [(d, f"say w{d}a w{d}b w{d}c") for d in range(6)]
+    items = spark.createDataFrame([(d, f"w{d}a w{d}b w{d}c") for d in range(6)], "item_id long, text string")
+    out = D.search(documents(*rows).select("doc_id", "text"), items, block_words=4)
+    assert {r["doc_id"]: r["__items"] for r in out.collect()} == {d: [str(d)] for d in range(6)}
+    assert len(passes) >= 2 and set(passes) == {1} and out._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
+
+
+def test_columns_of_any_name_are_carried(spark, documents):
+    extra = ["hits", "ITEMS", "Words", "__hits", "__items", "_hits", "a.b"]
+    frame = brute.with_extra_columns(documents((1, "some text"), (2, None)), extra)
+    out = D.clean(frame, spark.createDataFrame([(1, "other words")], "item_id long, text string"))
+    assert out.columns == frame.columns
+    assert sorted(brute.extra_cells(r, extra) for r in out.collect()) == [(d, *(f"{c}/{d}" for c in extra)) for d in (1, 2)]
+
+
+def test_a_text_of_megabytes(spark, documents):
+    words = " ".join(f"w{i % 5000}" for i in range(700_000))
+    item = " ".join(f"x{i}" for i in range(10))
+    out = D.assess(documents((1, f"{words} {item} {words}")), spark.createDataFrame([(1, item)], "item_id long, text string")).collect()[0]
+    assert (out["n_words"], out["n_hit"], out["n_items"]) == (1_400_010, 10, 1)

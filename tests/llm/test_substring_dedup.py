@@ -88,3 +88,21 @@ def test_remove_keeps_columns_and_white_space(spark, documents):
     assert sorted(out) == [1, 2, 4]
     assert out[1]["text"] == f"one\n{shared}  two" and out[2]["text"] == "A  b\tend." and out[4]["text"] == "plain\n text"
     assert out[2]["n_chars"] == len("A  b\tend.") and S.remove(frame).columns == frame.columns
+
+
+@pytest.mark.parametrize("repeats", [False, True])
+def test_columns_of_any_name_are_carried(spark, documents, repeats):
+    shared = " ".join(f"w{i}" for i in range(20))
+    extra = ["__row", "__FOUND", "__windows", "row", "windows", "key", "a.b"]
+    rows = [(1, f"one {shared}"), (2, f"two {shared} end")] + [(2, "more"), (None, "none")] * repeats
+    frame = brute.with_extra_columns(documents(*rows), extra)
+    out = S.remove(frame)
+    held = out.collect()
+    assert out.columns == frame.columns and sorted(str(r["text"]) for r in held) == sorted([f"one {shared}", "two end", *["more", "none"] * repeats])
+    assert [brute.extra_cells(r, extra) for r in held] == [(r["doc_id"], *(f"{c}/{'-' if r['doc_id'] is None else r['doc_id']}" for c in extra)) for r in held]
+
+
+def test_a_text_of_megabytes(spark, documents):
+    words = " ".join(f"w{i}" for i in range(300_000))
+    out = got(S.assess(documents((1, words), (2, f"own {words}"))))
+    assert out == wanted([(1, words), (2, f"own {words}")])
