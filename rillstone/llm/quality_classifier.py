@@ -6,14 +6,18 @@ chunk's features are its filters' largest values. The mean and the maximum of
 the chunks' features go through one logistic unit.
 
 The network is trained on at most ``TRAIN_DOCUMENTS`` labelled documents, taken
-by a hash of their id, whole texts, in one task; its weights are a few
-kilobytes. Scoring streams over all documents.
+by a hash of their id, whole texts of at most ``TRAIN_TEXT`` bytes and
+``TRAIN_BYTES`` together, in one task; its weights are a few kilobytes. Scoring
+streams over all documents, whole texts too: a long one is read block by block,
+with the sum and the maximum so far and the last block's values carried on.
 
 Edge cases: a null or empty text has one block of padding and the score that
 comes of it. Labels of null id or value aren't learned from; of an id's several
 labels the mean counts, and a tie is left out. Without labels of both kinds
 every score is the share of label 1, or 0.5 without any. Repeated rows get a
-score each. An empty table gives an empty result. Other columns are ignored.
+score each. An empty table gives an empty result. A very long text takes a few
+times its own bytes of a task's memory, for its copy from Arrow, and 60 MB of
+work space. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -37,7 +41,11 @@ EPOCHS = 6
 BATCH = 32
 RATE = 0.02
 DECAY = 1e-4
-#: Bytes that scoring holds at a time, but for the last document among them.
+#: Texts of more bytes aren't learned from, nor are more bytes in all: a bounded sample.
+TRAIN_TEXT, TRAIN_BYTES = 1 << 20, 1 << 26
+#: Bytes of a batch in training, but for its last text.
+BATCH_BYTES = 1 << 19
+#: Bytes that scoring holds at a time; a longer text is scored in parts.
 PIECE = 1 << 17
 
 
@@ -90,10 +98,35 @@ class Network:
         return (features * self.weight).sum(axis=1) + self.offset[0]
 
     def score(self, buf: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-        symbols, first = padded(buf, offsets)
-        found, _, _ = self.features(self.activations(symbols).max(axis=1), first)
+        """Of texts that are few bytes together, or of one long text."""
+        if len(offsets) == 2 and len(buf) > PIECE:
+            found = self.long_features(buf)[None]
+        else:
+            symbols, first = padded(buf, offsets)
+            found, _, _ = self.features(self.activations(symbols).max(axis=1), first)
         return 1 / (1 + np.exp(-self.logits(found).astype(np.float64)))
 
+    def long_features(self, text: np.ndarray) -> np.ndarray:
+        """What `features` gives of one text, of any length, part by part."""
+        blocks, step, back = max(1, -(-(len(text) + WIDTH - 1) // BLOCK)), max(1, PIECE // BLOCK), WIDTH - 1
+        total, top, before = np.zeros(FILTERS), np.zeros(FILTERS, np.float32), None
+        for low in range(0, blocks, step):
+            n = min(step, blocks - low)
+            symbols = np.full(n * BLOCK + back, PAD, np.int64)
+            begin = low * BLOCK - back
+            part = text[max(0, begin) : begin + len(symbols)]
+            symbols[max(0, -begin) : max(0, -begin) + len(part)] = part
+            largest = self.activations(symbols).max(axis=1)
+            if before is not None:
+                largest = np.concatenate([before[None], largest])
+            before = largest[-1]
+            # a chunk is a block and the next; the part's last block waits for its next
+            chunks = largest if blocks == 1 else np.maximum(largest[:-1], largest[1:])
+            held = np.maximum(chunks + self.bias, 0)
+            total += held.sum(axis=0, dtype=np.float64)
+            top = np.maximum(top, held.max(axis=0, initial=0))
+        return np.concatenate([(total / max(1, blocks - 1)).astype(np.float32), top])
+
     def gradients(self, buf: np.ndarray, offsets: np.ndarray, target: np.ndarray) -> list[np.ndarray]:
         """Of the mean logistic loss by table, bias, weight and offset."""
         symbols, first = padded(buf, offsets)
@@ -125,22 +158,32 @@ class Network:
         held = [self.table, self.bias, self.weight, self.offset]
         self.offset[0] = np.log(target.mean() / (1 - target.mean()))
         one, two, step = [np.zeros_like(p) for p in held], [np.zeros_like(p) for p in held], 0
-        total = epochs * -(-len(texts) // BATCH)
-        for _ in range(epochs):
-            order = rng.permutation(len(texts))
-            for low in range(0, len(order), BATCH):
-                chosen = order[low : low + BATCH]
-                part = [texts[i] for i in chosen.tolist()]
-                buf = np.frombuffer(b"".join(part), np.uint8)
-                step += 1
-                rate = RATE * 0.1 ** (step / total)
-                for p, m, v, g in zip(held, one, two, self.gradients(buf, np.cumsum([0, *map(len, part)]), target[chosen]), strict=True):
-                    m += 0.1 * (g - m)
-                    v += 0.001 * (g * g - v)
-                    p -= rate * (m / (1 - 0.9**step) / (np.sqrt(v / (1 - 0.999**step)) + 1e-7) + DECAY * p)
+        lengths = np.array([len(t) for t in texts])
+        orders = [rng.permutation(len(texts)) for _ in range(epochs)]
+        batches = [chosen for order in orders for chosen in _batches(order, lengths)]
+        total = len(batches)
+        for chosen in batches:
+            part = [texts[i] for i in chosen.tolist()]
+            buf = np.frombuffer(b"".join(part), np.uint8)
+            step += 1
+            rate = RATE * 0.1 ** (step / total)
+            for p, m, v, g in zip(held, one, two, self.gradients(buf, np.cumsum([0, *map(len, part)]), target[chosen]), strict=True):
+                m += 0.1 * (g - m)
+                v += 0.001 * (g * g - v)
+                p -= rate * (m / (1 - 0.9**step) / (np.sqrt(v / (1 - 0.999**step)) + 1e-7) + DECAY * p)
         return self
 
 
+def _batches(order: np.ndarray, lengths: np.ndarray) -> Iterator[np.ndarray]:
+    """At most BATCH texts in a row, fewer where BATCH_BYTES are reached."""
+    low = held = 0
+    for k, i in enumerate(order.tolist()):
+        held += int(lengths[i])
+        if k + 1 - low == BATCH or held >= BATCH_BYTES or k + 1 == len(order):
+            yield order[low : k + 1]
+            low, held = k + 1, 0
+
+
 def remainder(doc_id: Column, modulus: int) -> Column:
     """crc32 of the id as text, modulo; a null id counts as empty text."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % modulus
@@ -155,19 +198,23 @@ def train(docs: DataFrame, labels: DataFrame, target: str = "quality", learn: Co
     chosen = told.orderBy(F.xxhash64("doc_id"), "doc_id").limit(documents)
     chosen = chosen.select(F.col("doc_id").alias("labelled"), (F.col("label") > 0.5).cast("int").alias("label"))
     # at most `documents` rows of two numbers
-    rows = docs.select("doc_id", F.col("text").cast("binary").alias("text")).join(F.broadcast(chosen), F.col("doc_id") == F.col("labelled"))
+    short = docs.where(F.col("text").isNull() | (F.octet_length("text") <= TRAIN_TEXT))
+    rows = short.select("doc_id", F.col("text").cast("binary").alias("text")).join(F.broadcast(chosen), F.col("doc_id") == F.col("labelled"))
 
     def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        texts, target = [], []
+        texts, target, held = [], [], 0
         for batch in batches:
-            texts += [t or b"" for t in batch.column("text").to_pylist()]
-            target += batch.column("label").to_pylist()
+            for t, label in zip(batch.column("text").to_pylist(), batch.column("label").to_pylist(), strict=True):
+                if held + len(t or b"") <= TRAIN_BYTES:
+                    texts.append(t or b"")
+                    target.append(label)
+                    held += len(texts[-1])
         target = np.array(target, np.float32)
         share = float(target.mean()) if len(target) else 0.5
         model = Network().train(texts, target) if 0 < share < 1 else share
         yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(model)], pa.binary())], ["model"])
 
-    found = rows.select("doc_id", "text", "label").repartition(1).sortWithinPartitions("doc_id").mapInArrow(fit, "model binary").collect()
+    found = rows.select("doc_id", "text", "label").repartition(1).sortWithinPartitions(F.xxhash64("doc_id"), "doc_id", "text").mapInArrow(fit, "model binary").collect()
     return bytes(found[0]["model"]) if found else pickle.dumps(0.5)
 
 

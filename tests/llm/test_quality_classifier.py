@@ -1,7 +1,10 @@
+import math
 import pickle
 import random
+import tracemalloc
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from rillstone.llm import quality_classifier as K
@@ -89,3 +92,54 @@ def test_nulls_repeats_and_missing_labels(spark, documents):
     assert {r["score"] for r in K.assess(documents(*rows), odd).collect()} <= {0.5, 1.0}
     assert K.assess(documents(), none).count() == 0
     assert pickle.loads(K.train(documents(*rows), none)) == 0.5
+
+
+def plain_score(network, text):
+    """The network by loops: every filter at every place, largest of two neighbouring blocks, mean and maximum, one unit."""
+    padding = [K.PAD] * (K.WIDTH - 1)
+    blocks = max(1, -(-(len(text) + K.WIDTH - 1) // K.BLOCK))
+    symbols = padding + list(text) + [K.PAD] * (blocks * K.BLOCK - len(text))
+    largest = []
+    for b in range(blocks):
+        values = [[sum(float(network.table[j, symbols[p + j], f]) for j in range(K.WIDTH)) for f in range(K.FILTERS)] for p in range(b * K.BLOCK, (b + 1) * K.BLOCK)]
+        largest.append([max(v[f] for v in values) for f in range(K.FILTERS)])
+    pairs = [(largest[0], largest[0])] if blocks == 1 else list(zip(largest, largest[1:]))
+    chunks = [[max(0.0, max(a[f], b[f]) + float(network.bias[f])) for f in range(K.FILTERS)] for a, b in pairs]
+    features = [sum(c[f] for c in chunks) / len(chunks) for f in range(K.FILTERS)] + [max(c[f] for c in chunks) for f in range(K.FILTERS)]
+    return 1 / (1 + math.exp(-(sum(float(w) * x for w, x in zip(network.weight, features)) + float(network.offset[0]))))
+
+
+@pytest.mark.parametrize("length", [0, 3, 251, 252, 253, 600, 1300])
+def test_a_score_is_that_of_a_plain_convolution(monkeypatch, length):
+    rng = np.random.default_rng(length)
+    network = K.Network(3)
+    network.bias += rng.normal(0, 0.1, K.FILTERS).astype(np.float32)
+    text = rng.integers(0, 256, length).astype(np.uint8)
+    wanted = plain_score(network, text.tolist())
+    assert abs(network.score(text, np.array([0, length]))[0] - wanted) < 1e-5
+    monkeypatch.setattr(K, "PIECE", 256)
+    assert abs(network.score(text, np.array([0, length]))[0] - wanted) < 1e-5
+
+
+def test_a_long_text_is_scored_in_little_memory():
+    network, text = K.Network(), np.random.default_rng(0).integers(32, 127, 12_000_000).astype(np.uint8)
+    tracemalloc.start()
+    whole = network.score(text, np.array([0, len(text)]))[0]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 60_000_000
+    middle = len(text) // 2 // K.BLOCK * K.BLOCK
+    changed = text.copy()
+    changed[middle : middle + 2000] = 0
+    assert 0 < whole < 1 and network.score(changed, np.array([0, len(text)]))[0] != whole
+
+
+def test_training_is_bounded_in_bytes(spark, documents, monkeypatch):
+    rows = [(d, ("good words " if d % 2 else "bad stuff! ") * (5 + d)) for d in range(60)] + [(99, "x" * 5000)]
+    labels = spark.createDataFrame([(d, d % 2) for d in [*range(60), 99]], "doc_id long, quality int")
+    monkeypatch.setattr(K, "TRAIN_TEXT", 2000)
+    monkeypatch.setattr(K, "TRAIN_BYTES", 12_000)
+    monkeypatch.setattr(K, "BATCH_BYTES", 900)
+    out = {r["doc_id"]: r["score"] for r in K.assess(documents(*rows), labels).collect()}
+    assert len(out) == 61 and np.mean([out[d] > out[d - 1] for d in range(1, 60, 2)]) > 0.8
+    assert [len(b) for b in K._batches(np.arange(70), np.full(70, 30))] == [30, 30, 10]
