@@ -42,3 +42,30 @@ def shortest_lengths(arcs: DataFrame, pairs: DataFrame, max_rounds: int = 10_000
         if len(seen) > COMPACT_AFTER:
             seen = [cut(union(seen).coalesce(max(1, arcs.sparkSession.sparkContext.defaultParallelism)))]
     raise DidNotSettle(f"the search after {max_rounds} rounds")
+
+
+def shortest_paths(arcs: DataFrame, pairs: DataFrame, max_rounds: int = 10_000) -> DataFrame:
+    """(source, target, path) of each distinct pair: the places on a shortest way, null where there is none.
+
+    Of several shortest ways the one whose last place but one is least, and so
+    on backwards. `pairs` as for `shortest_lengths`, whose lengths bound the way
+    back: from each target a step to the least place that is one step nearer.
+    """
+    lengths = cut(shortest_lengths(arcs, pairs, max_rounds))
+    arcs = cut(arcs.select(F.col("x").cast("long").alias("x"), F.col("y").cast("long").alias("y")).where("x is not null and y is not null").distinct())
+    longest = lengths.agg(F.max("length")).first()[0] or 0
+    # places that each source reaches, by level: the way back looks among them
+    reached = [cut(lengths.where("length >= 0").select("source", F.col("source").alias("at")).distinct())]
+    seen = reached[0]
+    for _ in range(longest):
+        step = reached[-1].join(arcs, F.col("at") == F.col("x")).select("source", F.col("y").alias("at")).distinct()
+        reached.append(cut(step.join(seen, ["source", "at"], "left_anti")))
+        seen = union(reached)
+    ways = lengths.where("length >= 0").select("source", "target", "length", F.col("target").alias("head"), F.array("target").alias("path"))
+    for level in range(longest, 0, -1):
+        before = reached[level - 1].select(F.col("source").alias("s"), F.col("at").alias("near"))
+        nearer = ways.where(F.col("length") >= level).join(arcs, F.col("head") == F.col("y")).join(before, (F.col("s") == F.col("source")) & (F.col("near") == F.col("x")))
+        nearest = nearer.groupBy("source", "target", "length").agg(F.min("x").alias("head"), F.first("path").alias("path"))
+        moved = nearest.select("source", "target", "length", "head", F.concat(F.array("head"), "path").alias("path"))
+        ways = cut(ways.where(F.col("length") < level).unionByName(moved))
+    return lengths.join(ways.select(F.col("source").alias("s"), F.col("target").alias("t"), "path"), F.col("source").eqNullSafe(F.col("s")) & F.col("target").eqNullSafe(F.col("t")), "left").select("source", "target", "path")

@@ -69,3 +69,50 @@ def test_inputs_without_facts(spark):
         program.run(spark, {"B": spark.range(1)})
     with pytest.raises(ValueError, match="columns"):
         program.run(spark, {"A": spark.range(1).selectExpr("id", "id as b")})
+
+
+def test_headers_of_files_that_split(spark, tmp_path):
+    folder = tmp_path / "r.csv"
+    folder.mkdir()
+    for k in range(2):
+        (folder / f"{k}.csv").write_text("id,w\n" + "".join(f"{k * 1000 + i},\"w{i}\n" for i in range(500)))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1000")
+    try:
+        frame = read_relation(spark, str(folder), ["bigint", "string"], Source("r.csv", ",", True))
+        assert frame.rdd.getNumPartitions() > 4
+        assert sorted(map(tuple, frame.collect())) == sorted((k * 1000 + i, f'"w{i}') for k in range(2) for i in range(500))
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
+def test_commands_round_trip(spark, tmp_path):
+    from rillstone.sources.commands import read_commands, run_commands, write_commands
+
+    names = [(1, 'a "b", (c)'), (2, "back\\slash"), (3, "")]
+    path = str(tmp_path / "c")
+    write_commands({"Name": spark.createDataFrame(names, "k long, w string"), "Arc": spark.createDataFrame([(1, 2)], "x long, y long")}, path)
+    facts, dump = read_commands(spark, path, {"Name": ["bigint", "string"], "Arc": ["bigint", "bigint"]})
+    assert dump and sorted(map(tuple, facts["Name"].collect())) == names and facts["Arc"].collect() == [(1, 2)]
+    result = Program.parse(".decl Arc(x: int64, y: int64)\n.input Arc\n.decl T(x: int64)\nT(y) :- Arc(_, y).").run(spark, {"Arc": spark.createDataFrame([(5, 6)], "x long, y long")})
+    (tmp_path / "one").write_text("start;\ninsert Arc(7, 8);\ninsert Arc(5, 6);\ntimestamp;\ncommit;\ndump RelationSizes;\n")
+    assert run_commands(result, str(tmp_path / "one")) == ["[size][Arc] t=() size=2", "[size][T] t=() size=2"]
+
+
+@pytest.mark.parametrize("text", ["start;\ninsert Arc(1, 2);\n", "commit;\nremove Arc(1, 2);\n", "commit;\ninsert Other(1);\n", "commit;\ninsert Arc(1);\n", "commit;\ninsert Arc(1, x);\n", "commit;\ncommit;\n"])
+def test_wrong_commands_are_errors(spark, tmp_path, text):
+    from rillstone.sources.commands import read_commands
+
+    (tmp_path / "c").write_text(text)
+    with pytest.raises(Exception):  # noqa: B017
+        read_commands(spark, str(tmp_path / "c"), {"Arc": ["bigint", "bigint"]})[0]["Arc"].collect()
+
+
+def test_declared_columns(spark, tmp_path):
+    from rillstone.sources.facts import scan
+
+    (tmp_path / "p.txt").write_text("Person.id|name\n1|x\n2|y\n")
+    frame = scan(spark, str(tmp_path / "p.txt"), {"Person.id": "bigint", "name": "string"})
+    assert frame.dtypes == [("Person.id", "bigint"), ("name", "string")] and sorted(map(tuple, frame.collect())) == [(1, "x"), (2, "y")]
+    (tmp_path / "q.txt").write_text("Person.id|name\none|x\n")
+    with pytest.raises(Exception, match="MALFORMED"):
+        scan(spark, str(tmp_path / "q.txt"), {"Person.id": "bigint", "name": "string"}).collect()
