@@ -1,20 +1,22 @@
 """A compressed FM-index over integer texts.
 
 The transform of all texts, joined by a separator, is held as a wavelet matrix:
-one bit vector for each bit of a symbol, packed into 64-bit words with a running
-count for each. A rank costs one look at a word and its count for each level.
-Searches go backward, a symbol at a time, for many queries at once.
+one bit vector for each bit of a symbol, packed into 64-bit words, with a count
+for each word and one for each 1024 words. A rank costs one look at a word and
+its counts for each level. Searches go backward, a symbol at a time, for many
+queries at once.
 
 Suffixes are sorted by their first `threshold` symbols or a few more, which is
-all that matching up to that length needs.
+all that matching up to that length needs. Neither the texts nor the order of
+the suffixes is kept: a match is shortened by the lengths of common prefixes of
+neighbouring suffixes, at most `threshold`, four bits each, and the owner of a
+whole match is held once for all suffixes that share it.
 """
 
 from __future__ import annotations
 
 import numpy as np
 
-from rillstone.llm.words import windows
-
 
 class BitVector:
     """Bits with rank."""
@@ -22,17 +24,23 @@ class BitVector:
     def __init__(self, bits: np.ndarray):
         self.words = np.frombuffer(np.packbits(np.append(bits, np.zeros(64 + -len(bits) % 64, bool)), bitorder="little").tobytes(), np.uint64)
         counts = np.bitwise_count(self.words).astype(np.int64)
-        self.before = np.cumsum(counts) - counts
+        before = np.cumsum(counts) - counts
+        self.blocks = before[::1024].astype(np.uint32)
+        self.before = (before - np.repeat(before[::1024], 1024)[: len(before)]).astype(np.uint16)
+
+    @property
+    def nbytes(self) -> int:
+        return self.words.nbytes + self.blocks.nbytes + self.before.nbytes
 
     def ones(self, at: np.ndarray) -> np.ndarray:
         """How many of the first `at` bits are set."""
         word, bit = at >> 6, (at & 63).astype(np.uint64)
         below = self.words[word] & ((np.uint64(1) << bit) - np.uint64(1))
-        return self.before[word] + np.bitwise_count(below)
+        return self.blocks[word >> 10].astype(np.int64) + self.before[word] + np.bitwise_count(below)
 
 
 class WaveletMatrix:
-    """Symbols with rank: how often a symbol occurs among the first so many."""
+    """Symbols with rank: where occurrences of a symbol lie below the last level."""
 
     def __init__(self, symbols: np.ndarray, levels: int):
         self.levels, self.zeros = [], []
@@ -41,24 +49,26 @@ class WaveletMatrix:
             self.levels.append((level, BitVector(bits)))
             self.zeros.append(int(len(bits) - bits.sum()))
             symbols = np.concatenate([symbols[~bits], symbols[bits]])
-        # where each symbol's run begins below the last level
-        self.begins = np.searchsorted(symbols_key(symbols, levels), symbols_key(np.arange(1 << levels), levels)) if levels <= 22 else None
+        self.last = symbols_key(symbols, levels)
+
+    def begins(self, n_symbols: int) -> np.ndarray:
+        """Where the run of each symbol begins; to be asked once, when the matrix has been made."""
+        runs = np.searchsorted(self.last, symbols_key(np.arange(n_symbols), len(self.levels)))
+        del self.last
+        return runs
+
+    @property
+    def nbytes(self) -> int:
+        return sum(bits.nbytes for _, bits in self.levels)
 
-    def ranks(self, symbol: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Occurrences of each symbol before `low` and before `high`."""
+    def places(self, symbol: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The run's place that each symbol's occurrences before `low`, and before `high`, reach to."""
         both, n = np.concatenate([low, high]), len(low)
-        begin = np.zeros(n, np.int64)
         for (level, bits), zeros in zip(self.levels, self.zeros, strict=True):
             one = (symbol >> level & 1).astype(bool)
             ranked = bits.ones(both)
-            ones = np.concatenate([one, one])
-            both = np.where(ones, zeros + ranked, both - ranked)
-            if self.begins is None:
-                first = bits.ones(begin)
-                begin = np.where(one, zeros + first, begin - first)
-        if self.begins is not None:
-            begin = self.begins[symbol]
-        return both[:n] - begin, both[n:] - begin
+            both = np.where(np.concatenate([one, one]), zeros + ranked, both - ranked)
+        return both[:n], both[n:]
 
 
 def symbols_key(symbols: np.ndarray, levels: int) -> np.ndarray:
@@ -70,11 +80,13 @@ def symbols_key(symbols: np.ndarray, levels: int) -> np.ndarray:
 
 
 class FMIndex:
-    """Index of texts, given as one array of codes with the texts' bounds, and an owner for each text."""
+    """Index of texts, given as one array of codes of at most 48 bits with the texts' bounds, and an owner for each text."""
 
     def __init__(self, codes: np.ndarray, bounds: np.ndarray, owners: np.ndarray, threshold: int):
         self.threshold = threshold
-        self.alphabet, ids = np.unique(codes, return_inverse=True)
+        alphabet, ids = np.unique(codes, return_inverse=True)
+        # sorted codes in six bytes each: what a code is told by
+        self.upper, self.lower = (alphabet >> np.uint64(16)).astype(np.uint32), alphabet.astype(np.uint16)
         n_texts = len(bounds) - 1
         # one separator, symbol 0, follows each text
         lengths = np.diff(bounds)
@@ -83,18 +95,34 @@ class FMIndex:
         text[places] = ids + 1
         self.n = len(text)
         order = self._sorted_suffixes(text, threshold)
-        transform = text[order - 1]
-        self.wavelet = WaveletMatrix(transform, max(1, int(len(self.alphabet)).bit_length()))
-        self.less = np.cumsum(np.append(0, np.bincount(text, minlength=len(self.alphabet) + 1)))
-        doubled = np.append(text, np.zeros(threshold, np.int64)).astype(np.uint64)
-        self._heads, self._order = doubled, order
-        self._groups: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-        # the least owner among suffixes that share their first `threshold` symbols
-        owner = np.repeat(owners, lengths + 1)[order]
-        begins, _ = self.group(threshold)
-        firsts = np.flatnonzero(begins == np.arange(self.n))
-        least = np.minimum.reduceat(owner, firsts) if self.n else owner
-        self.least = np.repeat(least, np.diff(np.append(firsts, self.n)))
+        self.wavelet = WaveletMatrix(text[order - 1], max(1, int(len(alphabet)).bit_length()))
+        # from a place in a symbol's run to that of the suffix that the symbol makes longer
+        less = np.cumsum(np.append(0, np.bincount(text, minlength=len(alphabet) + 1)))[:-1]
+        self.offset = (less - self.wavelet.begins(len(alphabet) + 1)).astype(np.int32)
+        # common prefixes of neighbours, two to a byte
+        shared = np.zeros(self.n + self.n % 2, np.uint8)
+        alike = np.ones(max(0, self.n - 1), bool)
+        for depth in range(min(threshold, 15)):
+            moved = text[(order + depth) % self.n]
+            alike &= moved[1:] == moved[:-1]
+            shared[1 : self.n][alike] = depth + 1
+        self.shared = shared[::2] | shared[1::2] << np.uint8(4)
+        # the least owner among suffixes that share their first `threshold` symbols, where these are of one text
+        whole = np.zeros(self.n, bool)
+        whole[places] = np.repeat(bounds[1:], lengths) - np.arange(len(codes)) >= threshold
+        begins = np.append(True, ~alike) if self.n else np.zeros(0, bool)
+        firsts = np.flatnonzero(begins)
+        self.owners, which = np.unique(owners, return_inverse=True)
+        held = np.repeat(which, lengths + 1)[order]
+        least = np.minimum.reduceat(held, firsts) if self.n else held
+        kept = whole[order[firsts]]
+        begins[firsts[~kept]] = False
+        self.groups, self.least = BitVector(begins), least[kept].astype(np.uint16 if len(self.owners) <= 1 << 16 else np.uint32)
+
+    @property
+    def nbytes(self) -> int:
+        """Bytes that searching reads."""
+        return self.wavelet.nbytes + self.groups.nbytes + sum(a.nbytes for a in (self.upper, self.lower, self.offset, self.shared, self.owners, self.least))
 
     @staticmethod
     def _sorted_suffixes(text: np.ndarray, depth: int) -> np.ndarray:
@@ -115,21 +143,23 @@ class FMIndex:
             known *= 2
         return order
 
-    def group(self, depth: int) -> tuple[np.ndarray, np.ndarray]:
-        """For each place in suffix order the bounds of its neighbours with the same first `depth` symbols."""
-        if depth not in self._groups:
-            cyclic = np.concatenate([self._heads[: self.n], self._heads[:depth]])
-            heads = windows(cyclic, depth)[: self.n][self._order]
-            new = np.append(True, heads[1:] != heads[:-1]) if self.n else np.zeros(0, bool)
-            firsts = np.flatnonzero(new)
-            sizes = np.diff(np.append(firsts, self.n))
-            self._groups[depth] = np.repeat(firsts, sizes), np.repeat(firsts + sizes, sizes)
-        return self._groups[depth]
+    def common(self, at: np.ndarray) -> np.ndarray:
+        """Symbols that the suffixes at these places share with those before them, at most `threshold`."""
+        return self.shared[at >> 1] >> (at & 1).astype(np.uint8) * np.uint8(4) & np.uint8(15)
 
     def symbols(self, codes: np.ndarray) -> np.ndarray:
-        """Symbols of codes; -1 for those that the index doesn't hold."""
-        at = np.minimum(np.searchsorted(self.alphabet, codes), max(0, len(self.alphabet) - 1))
-        return np.where(self.alphabet[at] == codes, at + 1, -1) if len(self.alphabet) else np.full(len(codes), -1)
+        """Symbols of codes of 48 bits; -1 for those that the index doesn't hold."""
+        if not len(self.upper):
+            return np.full(len(codes), -1)
+        upper, lower = (codes >> np.uint64(16)).astype(np.uint32), codes.astype(np.uint16)
+        at = np.minimum(np.searchsorted(self.upper, upper), len(self.upper) - 1)
+        while True:
+            # of codes that agree in their upper bits the lower ones decide
+            later = (self.upper[at] == upper) & (self.lower[at] < lower) & (at < len(self.upper) - 1)
+            if not later.any():
+                break
+            at = at + later
+        return np.where((self.upper[at] == upper) & (self.lower[at] == lower), at + 1, -1)
 
     def matches(self, codes: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Matching statistics of queries, and owners.
@@ -153,28 +183,34 @@ class FMIndex:
             trying = query[symbol >= 0]
             while len(trying):
                 s = symbols[at[trying]]
-                a, b = self.wavelet.ranks(s, low[trying], high[trying])
+                a, b = self.wavelet.places(s, low[trying], high[trying])
                 found = b > a
                 done = trying[found]
-                low[done], high[done] = (self.less[s] + a)[found], (self.less[s] + b)[found]
+                offset = self.offset[s]
+                low[done], high[done] = (offset + a)[found], (offset + b)[found]
                 depth[done] += 1
                 trying = trying[~found]
                 trying = trying[depth[trying] > 0]
                 self._widen(trying, low, high, depth)
             length[place] = depth[query]
             whole = query[depth[query] == self.threshold]
-            owner[at[whole]] = self.least[low[whole]]
+            owner[at[whole]] = self.owners[self.least[self.groups.ones(low[whole] + 1) - 1]]
             at[query] -= 1
             query = query[at[query] >= bounds[query]]
         return length, owner
 
     def _widen(self, queries: np.ndarray, low: np.ndarray, high: np.ndarray, depth: np.ndarray) -> None:
-        """Drops the last symbol of these queries' matches."""
-        for d in np.unique(depth[queries]).tolist():
-            some = queries[depth[queries] == d]
-            if d <= 1:
-                low[some], high[some] = 0, self.n
-            else:
-                begins, ends = self.group(d - 1)
-                low[some], high[some] = begins[low[some]], ends[low[some]]
-            depth[some] = max(0, d - 1)
+        """Drops the last symbol of these queries' matches: takes in the neighbours that share all others."""
+        depth[queries] = np.maximum(depth[queries] - 1, 0)
+        empty = queries[depth[queries] == 0]
+        low[empty], high[empty] = 0, self.n
+        some = queries[depth[queries] > 0]
+        down = up = some
+        while len(down):
+            down = down[low[down] > 0]
+            down = down[self.common(low[down]) >= depth[down]]
+            low[down] -= 1
+        while len(up):
+            up = up[high[up] < self.n]
+            up = up[self.common(high[up]) >= depth[up]]
+            high[up] += 1

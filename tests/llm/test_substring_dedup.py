@@ -106,3 +106,24 @@ def test_a_text_of_megabytes(spark, documents):
     words = " ".join(f"w{i}" for i in range(300_000))
     out = got(S.assess(documents((1, words), (2, f"own {words}"))))
     assert out == wanted([(1, words), (2, f"own {words}")])
+
+
+def test_an_index_is_smaller_than_its_text():
+    rng = np.random.default_rng(2)
+    words = np.unique(rng.integers(1 << 47, 1 << 48, 60_000)).astype(np.uint64)
+    share = 1 / np.arange(1, len(words) + 1)
+    codes = rng.choice(words, 300_000, p=share / share.sum())
+    bounds = np.append(np.arange(0, len(codes), 25), len(codes))
+    index = FMIndex(codes, bounds, np.arange(len(bounds) - 1), S.WINDOW)
+    held = sum(a.nbytes for a in vars(index).values() if isinstance(a, np.ndarray)) + index.groups.nbytes + index.wavelet.nbytes
+    assert index.nbytes == held and held < 6 * len(codes), held / len(codes)
+    length, owner = index.matches(codes[:2500], bounds[:101])
+    assert np.array_equal(length, np.minimum(13, 25 - np.arange(2500) % 25)) and np.array_equal(owner[length == 13], np.repeat(np.arange(100), 13))
+
+
+def test_codes_that_agree_in_their_upper_bits_are_told_apart():
+    codes = np.array([5, 70_000, 65_536 + 1, 65_536 + 9, 65_536 * 3], np.uint64)
+    index = FMIndex(codes, np.array([0, 5]), np.array([4]), 2)
+    asked = np.array([5, 6, 65_536 + 1, 65_536 + 9, 65_536 + 10, 70_000, 65_536 * 3, 1 << 47], np.uint64)
+    assert (index.symbols(asked) > 0).tolist() == [True, False, True, True, False, True, True, False]
+    assert len(set(index.symbols(codes).tolist())) == 5 and index.matches(codes, np.array([0, 5]))[0].tolist() == [2, 2, 2, 2, 1]
