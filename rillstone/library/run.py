@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 import warnings
 from collections.abc import Callable
 
@@ -15,7 +14,7 @@ from rillstone.library.operators import NATION, OPERATORS
 from rillstone.library.programs import PROGRAMS, Query
 from rillstone.operators.search import shortest_lengths, shortest_paths
 from rillstone.program import Program
-from rillstone.runtime import ensure_checkpoint_dir, table
+from rillstone.runtime import table, work_folder
 from rillstone.sources.commands import run_commands, write_commands
 from rillstone.sources.facts import scan, write_relation
 
@@ -47,7 +46,7 @@ def run_query(spark: SparkSession, sf_dir: str, query: Query) -> DataFrame:
 def file_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Nations written as a delimited file, and read as a program's input, with its size beside each row."""
     use_tables(spark, sf_dir)
-    folder = f"{ensure_checkpoint_dir(spark)}/facts-{uuid.uuid4().hex}"
+    folder = _folder(spark)
     write_relation(spark.sql(NATION), f"{folder}/nation.txt", "|")
     text = """.decl Nation(n: int32, name: string, r: int32)
     .input Nation(IO="file", filename="nation.txt", delimiter="|")
@@ -81,7 +80,7 @@ def paths(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _folder(spark: SparkSession) -> str:
-    return f"{ensure_checkpoint_dir(spark)}/facts-{uuid.uuid4().hex}"
+    return work_folder(spark, "facts")
 
 
 _NAMES = ".decl Nation(n: int32, name: string, r: int32)\n.input Nation(IO=\"file\", filename=\"nation.txt\", delimiter=\"|\"{options})"

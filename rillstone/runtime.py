@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
 
@@ -30,6 +31,34 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return sc._jsc.sc().getCheckpointDir().get()
 
 
+#: Folders that this process asked for and that are still there.
+_made: list[str] = []
+
+
+def work_folder(spark: SparkSession, kind: str) -> str:
+    """A new name beside the checkpoints, which all executors can reach; `remove` or `cleanup` ends it."""
+    _made.append(f"{ensure_checkpoint_dir(spark)}/{kind}-{uuid.uuid4().hex}")
+    return _made[-1]
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Deletes a folder that `work_folder` named, or one below it."""
+    if not any(path == made or path.startswith(f"{made}/") for made in _made):
+        raise ValueError(f"{path} wasn't made here")
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+    if path in _made:
+        _made.remove(path)
+
+
+def cleanup(spark: SparkSession) -> int:
+    """Deletes all folders that are still there; results that read from them end with them. How many there were."""
+    left = list(_made)
+    for path in left:
+        remove(spark, path)
+    return len(left)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """``df`` written to the shared checkpoint folder and read from there.
 

@@ -116,3 +116,31 @@ def test_declared_columns(spark, tmp_path):
     (tmp_path / "q.txt").write_text("Person.id|name\none|x\n")
     with pytest.raises(Exception, match="MALFORMED"):
         scan(spark, str(tmp_path / "q.txt"), {"Person.id": "bigint", "name": "string"}).collect()
+
+
+def test_folders_are_removed(spark):
+    from pathlib import Path
+
+    from rillstone import runtime
+
+    paths = [runtime.work_folder(spark, "facts") for _ in range(2)]
+    for path in paths:
+        spark.range(3).write.parquet(path)
+    local = [Path(p.removeprefix("file:")) for p in paths]
+    assert all(p.exists() for p in local)
+    runtime.remove(spark, paths[0])
+    assert not local[0].exists() and local[1].exists()
+    with pytest.raises(ValueError, match="wasn't made here"):
+        runtime.remove(spark, "/tmp")
+    assert runtime.cleanup(spark) >= 1 and not local[1].exists()
+
+
+def test_a_cluster_must_name_a_shared_folder():
+    from types import SimpleNamespace
+
+    from rillstone import runtime
+
+    none = SimpleNamespace(getCheckpointDir=lambda: SimpleNamespace(isDefined=lambda: False))
+    context = SimpleNamespace(_jsc=SimpleNamespace(sc=lambda: none), getConf=lambda: {}, master="spark://host:7077")
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        runtime.ensure_checkpoint_dir(SimpleNamespace(sparkContext=context, conf={}))
