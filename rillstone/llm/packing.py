@@ -12,8 +12,10 @@ two are exchanged for one. Each trade raises the sum of squared fills, so the
 search ends; a sequence that has lost all its documents is gone.
 
 Edge cases: a null or empty text is one piece that holds the end id alone.
-Repeated rows are packed each. Null ids of documents are carried. An empty
-table gives an empty result. Other columns are ignored.
+Repeated rows are packed each. Null ids of documents are carried. Of equally
+good places for a piece the first made is taken. An empty table gives an empty
+result. A very long text is encoded whole, some 100 times its bytes in a task's
+memory for a moment. Other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations

@@ -14,7 +14,9 @@ Edge cases: a null url, or one without `://`, has an empty host and path, fits
 no rule and has no tokens: it is allowed. Null labels are not learned from. With
 no labels, or none that a token set tells, no rule is mined and nothing but the
 hand-written rules blocks. Repeated rows each get their result; pages with a
-null page_id too. Columns beyond `page_id, url` are ignored.
+null page_id too. Of rules that fit equally long the first wins; of mined rules
+the most confident, then the last by its tokens. A url of any length is one
+row. Columns beyond `page_id, url` are ignored, whatever their names.
 """
 
 from __future__ import annotations

@@ -18,14 +18,14 @@ block, and keeps the payload's digest and length in its headers.
 Edge cases: a null html is an empty payload; a null url leaves its header out;
 a null page id is written as `null`, and never is the smallest unless all are
 null. Repeated rows: rows with the smallest id are all responses. Empty tables
-write no record. Extra columns are ignored.
+write no record. A page is a record whatever its length, a few times its bytes
+in a task's memory. Extra columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
 import hashlib
 import struct
-import uuid
 from collections.abc import Iterator
 from urllib.parse import quote
 
@@ -34,7 +34,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rillstone.runtime import ensure_checkpoint_dir
+from rillstone.runtime import work_folder
 
 #: Fixed values of the formats: frame magics, record lines and headers.
 FRAME_MAGIC = 0xFD2FB528
@@ -237,8 +237,8 @@ def read(spark: SparkSession, path: str) -> DataFrame:
 
 
 def round_trip(pages: DataFrame) -> DataFrame:
-    """Writes `pages` to archives beside the checkpoints and reads them back."""
+    """Writes `pages` to archives beside the checkpoints and reads them back; `rillstone.runtime.cleanup` deletes them."""
     spark = pages.sparkSession
-    path = f"{ensure_checkpoint_dir(spark)}/warc-{uuid.uuid4().hex}"
+    path = work_folder(spark, "warc")
     write(pages, path)
     return read(spark, path)

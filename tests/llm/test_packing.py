@@ -7,6 +7,7 @@ import pytest
 
 from rillstone.llm import packing as P
 from tests.conftest import ROOT  # noqa: F401
+from tests.llm import brute
 
 
 def test_cuts():
@@ -87,3 +88,13 @@ def test_groups_repeats_and_empty_table(spark, documents):
 def test_ids_are_given_on_demand(spark, documents):
     row = P.pack_documents(documents((1, "a b")), with_ids=True).first()
     assert row["ids"][-1] == 2 and len(row["ids"]) == row["length"]
+
+
+def test_columns_of_any_name_and_long_texts(spark, documents):
+    rows = [(1, "some words"), (None, None), (2, "river stone " * 100_000)]
+    out = P.pack_documents(brute.with_extra_columns(documents(*rows), ["piece", "START", "sequence_id", "a.b"]))
+    assert out.columns == P.pack_documents(documents(*rows)).columns
+    held = sorted((r["piece"], r["start"], r["length"]) for r in out.collect() if r["doc_id"] == 2)
+    assert [p for p, _, _ in held] == list(range(len(held))) and held[0][1] == 0
+    assert all(a + n == b for (_, a, n), (_, b, _) in zip(held, held[1:])) and all(n == 1024 for _, _, n in held[1:])
+    assert held[-1][1] + held[-1][2] >= 200_000

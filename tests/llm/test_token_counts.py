@@ -51,3 +51,11 @@ def test_forgotten_words_are_counted_again(spark, documents, monkeypatch):
     rows = [(d, " ".join(f"w{i}" for i in range(d))) for d in range(12)]
     out = {r["doc_id"]: r["n_words"] for r in C.count_tokens(documents(*rows)).collect()}
     assert out == {d: d for d in range(12)}
+
+
+def test_columns_of_any_name_and_long_texts(spark, documents):
+    rows = [(1, "some words"), (None, None), (2, "w" * 300_000 + " " + "v " * 200_000)]
+    plain = C.count_tokens(documents(*rows)).collect()
+    extra = ["n_words", "N_TOKENS", "a.b", "`x`"]
+    out = C.count_tokens(brute.with_extra_columns(documents(*rows), extra))
+    assert out.columns == ["doc_id", "n_words", "n_tokens"] and out.collect() == plain and plain[2]["n_words"] == 200_001

@@ -107,3 +107,10 @@ def test_wrong_archives_are_errors():
 
 def test_short_samples_still_give_a_dictionary():
     assert Z.train([]) and Z.train([b"ab"])
+
+
+def test_columns_of_any_name_and_long_pages(spark):
+    rows = [(1, "http://a.org/", "x" * 3_000_000), (2, "http://b.org/", "x" * 3_000_000)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").selectExpr("*", "page_id as payload", "page_id as RECORD", "page_id as `a.b`")
+    out = {r["page_id"]: (r["payload_bytes"], r["record_type"], r["refers_to"]) for r in Z.round_trip(pages).collect()}
+    assert out == {1: (3_000_000, "response", None), 2: (3_000_000, "revisit", 1)}
