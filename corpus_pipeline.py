@@ -6,12 +6,10 @@ of the documents that are left, each with its place in a sequence.
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 
 from rillstone.llm import decontamination, ngram_join, packing, quality_rules, substring_dedup
-from rillstone.runtime import ensure_checkpoint_dir, table
+from rillstone.runtime import remove, table, work_folder
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -51,10 +49,16 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages applied to the table documents, each result written beside the checkpoints and read again."""
+    """The stages applied to the table documents, each result written beside the checkpoints and read again.
+
+    A stage's files go when the next one's are written; the last one's stay for
+    the caller, until `rillstone.runtime.cleanup`.
+    """
     docs = table(spark, sf_dir, "documents")
-    path = f"{ensure_checkpoint_dir(spark)}/pipeline-{uuid.uuid4().hex}"
+    path = work_folder(spark, "pipeline")
     for k, (_, stage) in enumerate(STAGES):
         stage(spark, docs, sf_dir).write.parquet(f"{path}/{k}")
         docs = spark.read.parquet(f"{path}/{k}")
+        if k:
+            remove(spark, f"{path}/{k - 1}")
     return docs
