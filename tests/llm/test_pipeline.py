@@ -5,6 +5,8 @@ import subprocess
 import sys
 from pathlib import Path
 
+import pytest
+
 from tests.conftest import ROOT
 from tests.llm import brute
 
@@ -48,17 +50,28 @@ def test_stages_take_effect(spark, documents, tmp_path):
     assert [(*key(r), r["start"], r["length"], r["ids_crc32"]) for r in sorted(whole.collect(), key=key)] == [(*key(r), r["start"], r["length"], r["ids_crc32"]) for r in sorted(seen[4], key=key)]
 
 
-def test_the_rest_works_without_this_subpackage(tmp_path):
+@pytest.mark.parametrize("pipeline_too", [True, False])
+def test_the_rest_works_without_this_subpackage(tmp_path, pipeline_too):
     copy = tmp_path / "repo"
     shutil.copytree(ROOT, copy, ignore=shutil.ignore_patterns(".git", "__pycache__", "spark-warehouse", ".pytest_cache"))
     shutil.rmtree(copy / "rillstone" / "llm")
     shutil.rmtree(copy / "tests" / "llm")
-    (copy / "corpus_pipeline.py").unlink()
+    if pipeline_too:
+        (copy / "corpus_pipeline.py").unlink()
     code = "import __spark_entry__ as e; q = e.queries(); assert 'tc' in q and 'pipeline' not in q and not any(n.startswith('op1_') for n in q), q; assert e.oracle_sql()"
     env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
     assert subprocess.run([sys.executable, "-c", code], cwd=copy, env=env, timeout=120).returncode == 0
 
 
+def test_an_error_inside_the_subpackage_is_not_hidden(tmp_path):
+    copy = tmp_path / "repo"
+    shutil.copytree(ROOT, copy, ignore=shutil.ignore_patterns(".git", "__pycache__", "spark-warehouse", ".pytest_cache"))
+    (copy / "rillstone" / "llm" / "words.py").write_text("import a_wheel_that_is_missing\n")
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    run = subprocess.run([sys.executable, "-c", "import __spark_entry__"], cwd=copy, env=env, timeout=120, capture_output=True, text=True)
+    assert run.returncode != 0 and "a_wheel_that_is_missing" in run.stderr
+
+
 def test_nothing_else_imports_the_subpackage():
     for path in Path(ROOT).rglob("*.py"):
         inside = path.relative_to(ROOT).parts
