@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import contextlib
 import datetime
 import hashlib
 import json
 import platform
 import re
 import shutil
+import stat
+import tarfile
+import zipfile
 from dataclasses import dataclass
 from pathlib import Path
 
@@ -64,3 +68,42 @@ def remove_dataset(directory: str) -> None:
         raise ValueError(f"{directory} is reached through a link: not deleted")
     if path.exists():
         shutil.rmtree(path)
+
+
+def unpack(archive: str, directory: str) -> list[str]:
+    """Unpacks a local .zip, .tar or .tar.zst archive into a new folder; the files' names.
+
+    A name that leads out of the folder, or an entry that is no plain file or
+    folder, is an error, and leaves nothing behind.
+    """
+    folder = Path(directory)
+    if folder.exists():
+        raise FileExistsError(directory)
+    folder.mkdir(parents=True)
+    try:
+        if zipfile.is_zipfile(archive):
+            with zipfile.ZipFile(archive) as z:
+                for info in z.infolist():
+                    if not _inside(folder, info.filename) or stat.S_ISLNK(info.external_attr >> 16):
+                        raise ValueError(f"{archive}: {info.filename}")
+                z.extractall(folder)
+        else:
+            with contextlib.ExitStack() as stack:
+                file = stack.enter_context(open(archive, "rb"))
+                if archive.endswith(".zst"):
+                    import zstandard
+
+                    file = stack.enter_context(zstandard.ZstdDecompressor().stream_reader(file))
+                tar = stack.enter_context(tarfile.open(fileobj=file, mode="r|"))
+                for info in tar:
+                    if not (info.isfile() or info.isdir()) or not _inside(folder, info.name):
+                        raise ValueError(f"{archive}: {info.name}")
+                    tar.extract(info, folder, filter="data")
+    except BaseException:
+        shutil.rmtree(folder)
+        raise
+    return sorted(str(p.relative_to(folder)) for p in folder.rglob("*") if p.is_file())
+
+
+def _inside(folder: Path, name: str) -> bool:
+    return (folder / name).resolve().is_relative_to(folder.resolve())

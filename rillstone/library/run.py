@@ -9,6 +9,7 @@ from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from rillstone.harness.lattice import crosscheck
 from rillstone.library.facts import CHAIN
 from rillstone.library.operators import NATION, OPERATORS
 from rillstone.library.programs import PROGRAMS, Query
@@ -178,6 +179,17 @@ def declared_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.sql("select region, count(*) as n, max(`N.key`) as largest from scanned_nation group by region order by region limit 3")
 
 
+def lattice_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How recursive minima agree with an evaluation by whole rounds, and their sizes."""
+    use_tables(spark, sf_dir)
+    told = []
+    for name, relation in (("cc", "Cc"), ("sssp", "Dist")):
+        query = PROGRAMS[name]
+        found = crosscheck(spark, Program.parse(query.text), {fact: spark.sql(text) for fact, text in query.facts.items()}, [relation])
+        told.append((name, found[relation]))
+    return spark.createDataFrame(told, "program string, verdict string")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = {name: (lambda spark, sf_dir, q=query: run_query(spark, sf_dir, q)) for name, query in (PROGRAMS | OPERATORS).items()}
     return found | {
@@ -191,6 +203,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "s10_output": written_output,
         "s12_command_stream": command_stream,
         "s14_declared_scan": declared_scan,
+        "a4_lattice_check": lattice_check,
         "r9_early_stop": early_stop,
         "r9_path": paths,
     }
@@ -205,6 +218,7 @@ def oracle_sql() -> dict[str, str]:
     found["s9_printsize"] = f"select 'Tc' as relation, cast(count(*) as bigint) as size from ({found['tc']}) t"
     found["s10_output"] = "select distinct n_regionkey || '|' || n_name || '!' as line from nation"
     found["s12_command_stream"] = found["tc"]
+    found["a4_lattice_check"] = "select * from (values ('cc', 'match(1)'), ('sssp', 'match(1)')) t(program, verdict)"
     found["s14_declared_scan"] = "select cast(n_regionkey as integer) as region, count(*) as n, cast(max(n_nationkey) as bigint) as largest from nation group by n_regionkey order by n_regionkey limit 3"
     found["r9_early_stop"] = """select cast(arg_min(o_orderkey, (o_orderdate, o_orderkey)) as bigint) as source,
       cast(arg_max(o_orderkey, (o_orderdate, o_orderkey)) as bigint) as target, cast(count(*) - 1 as bigint) as length from orders group by o_custkey"""

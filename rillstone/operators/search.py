@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from rillstone.operators.bodies import without
 from rillstone.operators.fixpoint import BROADCAST_CELLS, COMPACT_AFTER, DidNotSettle, union
-from rillstone.runtime import cut
+from rillstone.runtime import adaptive, cut, cut_counted
 
 
 def shortest_lengths(arcs: DataFrame, pairs: DataFrame, max_rounds: int = 10_000) -> DataFrame:
@@ -17,30 +18,37 @@ def shortest_lengths(arcs: DataFrame, pairs: DataFrame, max_rounds: int = 10_000
     target; a source whose targets are all reached goes no further. Nulls
     match nothing.
     """
-    arcs = cut(arcs.select(F.col("x").cast("long").alias("x"), F.col("y").cast("long").alias("y")).where("x is not null and y is not null").distinct())
+    spark = arcs.sparkSession
+    wide = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    arcs = arcs.select(F.col("x").cast("long").alias("x"), F.col("y").cast("long").alias("y")).where("x is not null and y is not null").distinct()
     pairs = cut(pairs.select(F.col("source").cast("long").alias("source"), F.col("target").cast("long").alias("target")).distinct())
-    frontier = cut(pairs.where("source is not null").select("source", F.col("source").alias("at")).distinct())
-    seen, found, missing, n = [frontier], [], pairs, frontier.count()
+    with adaptive(spark, False):
+        # dealt once: steps and the places seen meet them where they are
+        arcs = cut(arcs.repartition(wide, "x").sortWithinPartitions("x"))
+        missing = cut(pairs.where("source is not null and target is not null").repartition(wide, "source", "target"))
+        frontier, n = cut_counted(pairs.where("source is not null").select("source", F.col("source").alias("at")).distinct().repartition(wide, "source", "at"))
+    seen, found = [frontier], []
     for level in range(max_rounds):
-        at_target = F.broadcast(frontier) if 2 * n <= BROADCAST_CELLS else frontier
-        hit = cut(missing.join(at_target.withColumnRenamed("at", "target"), ["source", "target"], "left_semi").withColumn("length", F.lit(level).cast("long"))) if n else None
-        if hit is not None and not hit.isEmpty():
-            found.append(hit)
-            missing = cut(missing.join(hit, ["source", "target"], "left_anti"))
-            # sources with nothing left to find drop out
-            frontier = frontier.join(missing.select("source").distinct(), "source", "left_semi")
         if n:
-            step = F.broadcast(frontier) if 2 * n <= BROADCAST_CELLS else frontier
-            reached = step.join(arcs, F.col("at") == F.col("x")).select("source", F.col("y").alias("at")).distinct()
-            frontier = cut(reached.join(union(seen), ["source", "at"], "left_anti"))
-            n = frontier.count()
+            with adaptive(spark, 2 * n > BROADCAST_CELLS):
+                few = 2 * n <= BROADCAST_CELLS
+                at_target = frontier.withColumnRenamed("at", "target")
+                hit, hits = cut_counted(missing.join(F.broadcast(at_target) if few else at_target, ["source", "target"], "left_semi"))
+                if hits:
+                    found.append(hit.withColumn("length", F.lit(level).cast("long")))
+                    missing = cut(missing.join(hit, ["source", "target"], "left_anti"))
+                    # sources with nothing left to find drop out
+                    frontier = frontier.join(missing.select("source").distinct(), "source", "left_semi")
+                reached = (F.broadcast(frontier) if few else frontier).join(arcs, F.col("at") == F.col("x")).select("source", F.col("y").alias("at")).distinct()
+                frontier, n = cut_counted(without(reached.repartition(wide, "source", "at"), union(seen), ["source", "at"], few))
         if not n:
             lengths = union(found) if found else pairs.withColumn("length", F.lit(0).cast("long")).limit(0)
             rest = pairs.join(lengths, (pairs["source"].eqNullSafe(lengths["source"])) & (pairs["target"].eqNullSafe(lengths["target"])), "left_anti")
             return lengths.unionByName(rest.withColumn("length", F.lit(-1).cast("long")))
         seen.append(frontier)
         if len(seen) > COMPACT_AFTER:
-            seen = [cut(union(seen).coalesce(max(1, arcs.sparkSession.sparkContext.defaultParallelism)))]
+            with adaptive(spark, False):
+                seen = [cut(union(seen))]
     raise DidNotSettle(f"the search after {max_rounds} rounds")
 
 

@@ -193,3 +193,56 @@ def test_peak_memory_is_of_the_engine_and_its_workers(spark):
     quiet = measure.timed(lambda: spark.range(10).count(), 1, spark)[0].peak_kib
     loud = measure.timed(lambda: spark.range(0, 10, 1, 1).mapInArrow(hold, "id long").count(), 1, spark)[0].peak_kib
     assert loud > quiet + 300_000
+
+
+def test_archives_unpack_inside_their_folder(tmp_path):
+    import io
+    import tarfile
+    import zipfile
+
+    import zstandard
+
+    with zipfile.ZipFile(tmp_path / "a.zip", "w") as z:
+        z.writestr("d/Arc.csv", "1,2\n")
+    assert runs.unpack(str(tmp_path / "a.zip"), str(tmp_path / "a")) == ["d/Arc.csv"] and (tmp_path / "a/d/Arc.csv").read_text() == "1,2\n"
+    with pytest.raises(FileExistsError):
+        runs.unpack(str(tmp_path / "a.zip"), str(tmp_path / "a"))
+
+    def tar(name, link=False):
+        raw = io.BytesIO()
+        with tarfile.open(fileobj=raw, mode="w") as t:
+            info = tarfile.TarInfo(name)
+            if link:
+                info.type, info.linkname = tarfile.SYMTYPE, "/etc/passwd"
+                t.addfile(info)
+            else:
+                info.size = 4
+                t.addfile(info, io.BytesIO(b"3,4\n"))
+        return zstandard.compress(raw.getvalue())
+
+    (tmp_path / "b.tar.zst").write_bytes(tar("Arc.csv"))
+    assert runs.unpack(str(tmp_path / "b.tar.zst"), str(tmp_path / "b")) == ["Arc.csv"]
+    for k, bad in enumerate((tar("../out.csv"), tar("link", link=True))):
+        (tmp_path / f"bad{k}.tar.zst").write_bytes(bad)
+        with pytest.raises(ValueError):
+            runs.unpack(str(tmp_path / f"bad{k}.tar.zst"), str(tmp_path / f"bad{k}"))
+        assert not (tmp_path / f"bad{k}").exists() and not (tmp_path / "out.csv").exists()
+
+
+def test_lattices_agree_with_plain_rounds(spark, monkeypatch):
+    from rillstone.harness.lattice import crosscheck
+    from rillstone.operators import fixpoint
+    from rillstone.program import Program
+
+    text = """.decl Arc(x: int64, y: int64, w: int64)
+    .decl Dist(x: int64, d: int64)
+    .decl Far(x: int64)
+    Dist(0, min(0)) :- Arc(_, _, _).
+    Dist(y, min(d + w)) :- Dist(x, d), Arc(x, y, w).
+    Far(x) :- Dist(x, d), d > 5."""
+    arcs = spark.createDataFrame([(0, 1, 9), (0, 2, 1), (2, 1, 2), (1, 3, 4), (3, 0, 1), (5, 6, 1)], "x long, y long, w long")
+    program = Program.parse(text)
+    assert crosscheck(spark, program, {"Arc": arcs}, ["Dist", "Far"]) == {"Dist": "match(1)", "Far": "match(1)"}
+    # one that improves nothing after its first round is told
+    monkeypatch.setattr(fixpoint.Evaluator, "_round", lambda self, *a: {})
+    assert crosscheck(spark, program, {"Arc": arcs}, ["Dist"]) == {"Dist": "MISMATCH"}
