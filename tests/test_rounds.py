@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from rillstone.operators.bodies import Read, evaluate, order_atoms
 from rillstone.operators.fixpoint import Evaluator
+from rillstone.operators.search import shortest_lengths, shortest_paths
 from rillstone.program import Program
 from rillstone.runtime import adaptive, cut
 
@@ -42,3 +43,18 @@ def test_the_next_atom_is_the_one_that_multiplies_rows_least(spark):
     assert order_atoms(rule, reads, 2) == [2, 0, 1]
     rows = {(r.c0, r.c1) for r in evaluate(rule, reads, lambda name: None, ["bigint", "bigint"], 2).collect()}
     assert rows == {(a, a % 40) for a in range(60)}
+
+
+def test_ways_from_one_search_in_few_jobs(spark):
+    arcs = spark.createDataFrame([(i, i + 1) for i in range(12)] + [(0, 20), (20, 2), (5, 5)], "x long, y long")
+    pairs = spark.createDataFrame([(0, 12), (0, 2), (3, 3), (5, 6), (12, 0), (None, 1), (7, 99)], "source long, target long")
+    sc = spark.sparkContext
+    sc.setJobGroup("ways", "ways")
+    found = {(r.source, r.target): r.path for r in shortest_paths(arcs, pairs).collect()}
+    jobs = len(sc.statusTracker().getJobIdsForGroup("ways"))
+    sc.setLocalProperty("spark.jobGroup.id", None)
+    assert found == {(0, 12): list(range(13)), (0, 2): [0, 1, 2], (3, 3): [3], (5, 6): [5, 6], (12, 0): None, (None, 1): None, (7, 99): None}
+    assert jobs < 100
+    nowhere = spark.createDataFrame([(4, 1), (None, None)], "source long, target long")
+    assert {r.path for r in shortest_paths(arcs, nowhere).collect()} == {None}
+    assert {r.length for r in shortest_lengths(arcs, spark.createDataFrame([(0, 12)], "source long, target long"), max_rounds=13).collect()} == {12}
